@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skysift import constants as K
-from skysift.functions.scoring import severity as severity_of
 
 
 def _lookup(key: Column, table: dict[str, str]) -> Column:
@@ -122,8 +121,10 @@ def confidence(history_len: Column) -> Column:
     )
 
 
-def message(aqi: Column, arrow: Column, prediction: Column, traffic: Column, history_len: Column) -> Column:
-    level = severity_of(aqi)
+def message(
+    level: Column, aqi: Column, arrow: Column, prediction: Column, traffic: Column, history_len: Column
+) -> Column:
+    """Structured message; ``level`` is the severity of ``aqi``, best kept as a column of its own."""
     return F.struct(
         level.alias("severity"),
         title(level, arrow).alias("title"),

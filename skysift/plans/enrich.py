@@ -20,8 +20,8 @@ RECORD = [
 
 def scored_readings(readings: DataFrame) -> DataFrame:
     """Readings with defaults filled in and the index rounded to one decimal."""
-    clean = with_defaults(with_city(readings).withColumn("aqi", F.round(scoring.index_from_pm25(F.col("pm25")), 1)))
-    return clean
+    aqi = F.round(scoring.index_from_pm25(F.col("pm25")), 1)
+    return with_defaults(with_city(readings).withColumn("aqi", aqi))
 
 
 def with_judgement(
@@ -36,26 +36,31 @@ def with_judgement(
     expected = aqi if prediction is None else F.coalesce(prediction, aqi)
     arrow, ahead = F.col("trend"), F.col("next_hour_aqi")
     seen = F.size(history) if history_len is None else F.lit(history_len)
-    return with_trend(df.withColumn("next_hour_aqi", F.round(expected, 1))).withColumns(
+    base = df.withColumns({"next_hour_aqi": F.round(expected, 1), "severity": scoring.severity(aqi)})
+    return with_trend(base).withColumns(
         {
             "insight": rules.insight(history, aqi, arrow),
             "alert": F.coalesce(rules.alert(history, aqi), F.lit("")),
             "next_hour_label": scoring.outlook_label(ahead, strict_labels),
             "next_hour_css": scoring.outlook_css(ahead, strict_labels),
             "history_aqi": rules.exposed(history),
-            "message": rules.message(aqi, arrow, ahead, F.col("traffic"), seen),
+            "message": rules.message(F.col("severity"), aqi, arrow, ahead, F.col("traffic"), seen),
             "priority": rules.priority(aqi, arrow, ahead),
         }
     )
 
 
+def judged_readings(recent: DataFrame, prediction: Column | None = None, extra: list[str] | None = None) -> DataFrame:
+    """Finish scored readings that carry their ``history``; statistics cover that history."""
+    judged = with_judgement(with_history_stats(with_labels(recent)), prediction)
+    return judged.withColumnRenamed("event_time", "timestamp").select(*RECORD, *(extra or []))
+
+
 def enrich_readings(
-    readings: DataFrame, prediction: Column | None = None, extra: list[str] | None = None, **ordering
+    readings: DataFrame, prediction: Column | None = None, extra: list[str] | None = None
 ) -> DataFrame:
     """One enriched record per reading; statistics cover the last 30 readings of the city."""
-    recent = with_history(scored_readings(readings), **ordering)
-    judged = with_judgement(with_history_stats(with_labels(recent)), prediction)
-    return judged.withColumnRenamed("event_time", "timestamp").select(*RECORD, *(extra or []))
+    return judged_readings(with_history(scored_readings(readings)), prediction, extra)
 
 
 def windows_as_readings(report: DataFrame) -> DataFrame:
@@ -78,15 +83,16 @@ def windows_as_readings(report: DataFrame) -> DataFrame:
     )
 
 
-def enrich_windows(
-    windows: DataFrame, prediction: Column | None = None, extra: list[str] | None = None, **ordering
-) -> DataFrame:
-    """One enriched record per (window, city); statistics are those of the window."""
-    ordering.setdefault("order", ["event_time"])
-    recent = with_history(windows, **ordering)
+def judged_windows(recent: DataFrame, prediction: Column | None = None, extra: list[str] | None = None) -> DataFrame:
+    """Finish windows that carry their ``history``; statistics are those of the window."""
     judged = with_judgement(recent, prediction, strict_labels=True)
     return judged.withColumnRenamed("event_time", "timestamp").select(*RECORD, *(extra or []))
 
 
+def enrich_windows(windows: DataFrame, prediction: Column | None = None) -> DataFrame:
+    """One enriched record per (window, city)."""
+    return judged_windows(with_history(windows, order=["event_time"]), prediction)
+
+
 def window_records(readings: DataFrame, seconds: int, prediction: Column | None = None) -> DataFrame:
     return enrich_windows(windows_as_readings(window_report(readings, seconds)), prediction)
