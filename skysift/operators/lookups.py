@@ -25,9 +25,13 @@ def latest_rows(df: DataFrame, time: str = "event_time", key: str = "city") -> D
 
 def latest_state(df: DataFrame, order: list[str], key: str = "city") -> DataFrame:
     """Exactly one row per key: the last in ``order``."""
+    return newest_rows(df.filter(F.length(key) > 0), 1, order, key)
+
+
+def newest_rows(df: DataFrame, n: int, order: list[str], key: str = "city") -> DataFrame:
+    """The last ``n`` rows of each key, limited before the shuffle."""
     newest = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    ranked = df.filter(F.length(key) > 0).withColumn("_rank", F.row_number().over(newest))
-    return ranked.filter("_rank = 1").drop("_rank")
+    return df.withColumn("_nth", F.row_number().over(newest)).filter(F.col("_nth") <= n).drop("_nth")
 
 
 def newest_time(df: DataFrame, time: str = "event_time", key: str = "city") -> DataFrame:

@@ -50,19 +50,24 @@ def with_frames(
     key: str = "city",
     order: Sequence[str] | None = None,
     position: Column | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """Apply ``add(frame, window)`` where frames look back at most ``carry`` rows per key.
 
     ``position`` is a long column that never decreases along ``order`` (nulls
-    first); by default the event time in microseconds.
+    first); by default the event time in microseconds. ``split=False`` is for callers
+    that have already limited the rows of each key.
     """
     order = list(order or event_order(df))
+    whole = Window.partitionBy(key).orderBy(*order)
+    if not split:
+        return add(df, whole)
     position = F.unix_micros("event_time") if position is None else position
     limit = int(df.sparkSession.conf.get("skysift.segment.rows", str(SEGMENT_ROWS)))
     located = df.withColumn(_POSITION, position)
     heavy = _counted(located, [key]).filter(F.col("_rows") > limit)
     if heavy.isEmpty():
-        return add(df, Window.partitionBy(key).orderBy(*order))
+        return add(df, whole)
     frame = _segmented(located, heavy, carry, key, order, limit).select(*df.columns, _SEGMENT, _CARRIED)
     out = add(frame, Window.partitionBy(key, _SEGMENT).orderBy(*order))
     return out.filter(~F.col(_CARRIED)).drop(_SEGMENT, _CARRIED)

@@ -57,10 +57,10 @@ def judged_readings(recent: DataFrame, prediction: Column | None = None, extra:
 
 
 def enrich_readings(
-    readings: DataFrame, prediction: Column | None = None, extra: list[str] | None = None
+    readings: DataFrame, prediction: Column | None = None, extra: list[str] | None = None, **ordering
 ) -> DataFrame:
     """One enriched record per reading; statistics cover the last 30 readings of the city."""
-    return judged_readings(with_history(scored_readings(readings)), prediction, extra)
+    return judged_readings(with_history(scored_readings(readings), **ordering), prediction, extra)
 
 
 def windows_as_readings(report: DataFrame) -> DataFrame:
