@@ -262,10 +262,10 @@ def build() -> dict[str, str]:
  SELECT name, lat, lon, region FROM added UNION ALL
  SELECT city, city_key::DOUBLE, 0::DOUBLE, region FROM cities WHERE city NOT IN (SELECT name FROM added)""",
         "trend": f"WITH {HISTORY} SELECT event_id, city, aqi, trend FROM trended",
-        "history20": f"WITH {HISTORY} SELECT event_id, city, hn AS history_len, {_shown('history')} AS history_aqi FROM trended",
+        "history20": f"WITH {HISTORY} SELECT event_id, city, hn::INT AS history_len, {_shown('history')} AS history_aqi FROM trended",
         "rolling_stats30": f"WITH {HISTORY} SELECT event_id, city, {_STATS30} FROM trended",
         "history_labels": f"""WITH {HISTORY}, cut AS (SELECT event_id, history[greatest(hn - 19, 1):] AS h FROM trended),
- points AS (SELECT event_id, len(h) AS n, h, unnest(range(len(h))) AS pos FROM cut)
+ points AS (SELECT event_id, len(h) AS n, h, unnest(range(len(h)))::INT AS pos FROM cut)
  SELECT event_id, pos, CASE WHEN pos = n - 1 THEN 'Now' ELSE '-' || (n - 1 - pos) END AS label, h[pos + 1] AS aqi FROM points""",
         "recent_movement": f"WITH {HISTORY} SELECT event_id, round(range6, 1) AS range6, round(jump5, 1) AS jump5 FROM trended",
         "insight": f"WITH {HISTORY} SELECT event_id, {_INSIGHT} AS insight FROM trended",

@@ -5,12 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+from skysift.sources import files
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Event times are instants; hours and windows are counted in UTC."""
+
+BYTES_PER_PARTITION = 64 * 1024 * 1024
+
+
+def prepare(spark: SparkSession, folder: str | None = None) -> SparkSession:
+    """Event times are instants, counted in UTC; shuffles are sized by the input.
+
+    For a large ``folder`` the initial number of shuffle partitions grows with its
+    bytes, so that a partition fits in an executor's memory; adaptive execution
+    merges the ones that turn out small.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if folder:
+        wanted = files.size(spark, folder) // BYTES_PER_PARTITION
+        if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
     return spark
 
 
@@ -29,13 +43,22 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/skysift-{spark.sparkContext.applicationId}"
+
+
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
-    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
-def staged(df, purpose: str):
+def staged(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table once and read it back: cuts lineage, survives executor loss,
     and lets the optimizer see the real size."""
     path = fresh_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete what this application staged; call it once no result needs it any more."""
+    files.remove(spark, _application_folder(spark))

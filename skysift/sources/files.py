@@ -24,3 +24,9 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def remove(spark: SparkSession, path: str) -> None:
     fs, target = _located(spark, path)
     fs.delete(target, True)
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes below a path; 0 if it is missing."""
+    fs, target = _located(spark, path)
+    return fs.getContentSummary(target).getLength() if fs.exists(target) else 0

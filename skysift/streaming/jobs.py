@@ -180,7 +180,11 @@ def upsert_state(state: VersionedTable, records: DataFrame, batch_id: int) -> No
 def follow_records(
     records: DataFrame, state: VersionedTable, history_path: str, rejects: str, work: str, drain: bool = False
 ) -> StreamingQuery:
-    """Feed the latest state and the history table from one stream of enriched records."""
+    """Feed the latest state and the history table from one stream of enriched records.
+
+    A load is named after the query of the checkpoint and its batch: a replay
+    replaces itself, and a new checkpoint replaces nothing.
+    """
     staging = VersionedTable(records.sparkSession, f"{work}/staged", records.schema)
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -188,7 +192,8 @@ def follow_records(
         fresh = staging.read(before=batch_id + 1)
         if not fresh.isEmpty():
             upsert_state(state, fresh, batch_id)
-            history.append_history(fresh, history_path, rejects, load=f"batch-{batch_id}")
+            query_id = fresh.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+            history.append_history(fresh, history_path, rejects, load=f"{query_id}-{batch_id}")
 
     return _start(records, step, f"{work}/checkpoint", "append", drain)
 
