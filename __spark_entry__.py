@@ -104,7 +104,7 @@ def breakpoint_range_join(spark, sf):
 
 
 def latest_per_city(spark, sf):
-    latest = lookups.latest_rows(_scored(spark, sf))
+    latest = enrich.scored_readings(lookups.latest_rows(tables.readings(spark, sf)))
     return _plain(latest.select("city", "event_time", "event_id", "aqi", *MEASURES, "traffic", "source", "is_real"))
 
 
@@ -154,7 +154,7 @@ def city_view(spark, sf):
 
 
 def worst_city(spark, sf):
-    return views.worst_city(lookups.latest_rows(_scored(spark, sf))).select("city", "aqi")
+    return views.worst_city(enrich.scored_readings(lookups.latest_rows(tables.readings(spark, sf)))).select("city", "aqi")
 
 
 def stale_cities(spark, sf):

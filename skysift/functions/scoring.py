@@ -57,10 +57,24 @@ def clamp_prediction(prediction: Column) -> Column:
     return F.round(F.least(F.greatest(prediction, F.lit(0.0)), F.lit(AQI_CEILING)), 1)
 
 
+SCALE = 10_000
+
+
+def scaled(value: Column) -> Column:
+    """A measure in whole ten-thousandths; NaN becomes null.
+
+    Whole numbers add up exactly in any order, and cheaply. Readings carry at most
+    three decimals, so nothing is lost.
+    """
+    return F.rint(value * F.lit(float(SCALE))).try_cast("bigint")
+
+
 def rounded_mean(value: Column, digits: int) -> Column:
     """Mean rounded half-up.
 
-    Readings carry few decimals, so means fall on exact ties often. Summing them
-    as decimals makes the result independent of the order of the rows.
+    Readings carry few decimals, so means fall on exact ties often; a floating sum
+    would decide them by the order of the rows.
     """
-    return F.round(F.avg(value.cast("decimal(18,4)")), digits).cast("double")
+    whole = scaled(value)
+    total, parts = F.sum(whole).cast("decimal(20,0)"), (F.count(whole) * SCALE).cast("decimal(20,0)")
+    return F.round(total / F.nullif(parts, F.lit(0)), digits).cast("double")

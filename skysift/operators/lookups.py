@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 
 from skysift.constants import BREAKPOINTS, CATEGORIES, TITLES
 from skysift.functions import rules
+from skysift.session import staged
 
 
 def latest_rows(df: DataFrame, time: str = "event_time", key: str = "city") -> DataFrame:
     """All rows holding the newest time of their key; ties are kept.
 
-    The rank limit is applied before the shuffle, so each task sends only its own
-    newest rows of a key.
+    A hash aggregate over two columns finds the times; that table (one row per key)
+    is staged, so the rows are filtered by a join planned by its real size and
+    nothing is sorted.
     """
-    newest = Window.partitionBy(key).orderBy(F.col(time).desc_nulls_last())
-    return df.filter(F.length(key) > 0).withColumn("_rank", F.rank().over(newest)).filter("_rank = 1").drop("_rank")
+    named = df.filter(F.length(key) > 0)
+    newest = staged(newest_time(named, time, key), "newest")
+    match = (named[key] == newest[key]) & named[time].eqNullSafe(newest["max_ts"])
+    return named.join(newest, match, "left_semi")
 
 
 def latest_state(df: DataFrame, order: list[str], key: str = "city") -> DataFrame:
@@ -28,6 +32,24 @@ def latest_state(df: DataFrame, order: list[str], key: str = "city") -> DataFram
     return newest_rows(df.filter(F.length(key) > 0), 1, order, key)
 
 
+def recent_rows(df: DataFrame, n: int, order: list[str], key: str = "city") -> DataFrame:
+    """The last ``n`` rows of each key of a large table; ``order`` starts with a time.
+
+    Rows are first counted per hour. Only the newest hours that hold ``n`` rows of
+    a key are kept, and only those rows are ranked.
+    """
+    hour = F.date_trunc("hour", order[0])
+    counts = df.groupBy(key, hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_rows"))
+    back = Window.partitionBy(key).orderBy(F.col("_hour").desc_nulls_last())
+    newer = F.sum("_rows").over(back) - F.col("_rows")
+    floors = counts.withColumn("_newer", newer).filter(F.col("_newer") < n).groupBy(key)
+    # A key with too few timed rows keeps those without a time as well.
+    needed = floors.agg(F.min("_hour").alias("_floor"), F.max(F.col("_hour").isNull()).alias("_untimed"))
+    kept = df.join(staged(needed, "floors"), key)
+    recent = kept.filter((F.col(order[0]) >= F.col("_floor")) | (F.col("_untimed") & F.col(order[0]).isNull()))
+    return newest_rows(recent.drop("_floor", "_untimed"), n, order, key)
+
+
 def newest_rows(df: DataFrame, n: int, order: list[str], key: str = "city") -> DataFrame:
     """The last ``n`` rows of each key, limited before the shuffle."""
     newest = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order])

@@ -14,7 +14,8 @@ How a heavy city is cut:
    and count rows per slot. Slots that are themselves too full (bursts) are laid
    out again, until all fit or hold a single instant.
 3. Group consecutive slots into segments. This table has a few entries per
-   segment, is written to the shared folder and joined by its real size.
+   segment, is written to the shared folder and joined by its real size; the number
+   of segments is bounded, so that it stays small enough to broadcast.
 4. Only the slots just before a segment border supply carried rows, and of each
    only its last ``carry`` rows (limited before the shuffle).
 """
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from skysift.session import staged
 
-SEGMENT_ROWS = 1_000_000
-SLOTS_PER_SEGMENT = 8
+SEGMENT_ROWS = 250_000
+# Bounds the table of slots (a few MB): beyond it segments grow instead.
+MAX_SEGMENTS = 100_000
+SLOTS_PER_SEGMENT = 4
 MAX_LEVELS = 4
 
 _SEGMENT, _CARRIED, _POSITION = "_segment", "_carried", "_position"
@@ -83,6 +86,7 @@ def _segmented(
     located: DataFrame, heavy: DataFrame, carry: int, key: str, order: list[str], limit: int
 ) -> DataFrame:
     crowded, grids = staged(heavy, "slots"), []
+    limit = max(limit, crowded.agg(F.sum("_rows")).first()[0] // MAX_SEGMENTS)
     for level in range(MAX_LEVELS):
         grids.append(_grid(crowded, [key, *_slots(level)], limit))
         tagged = _tagged(located, key, grids)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skysift.constants import HISTORY_ROWS, HISTORY_SHOWN
 from skysift.functions import rules
+from skysift.functions.scoring import SCALE, scaled
 from skysift.operators.ordered import with_frames
 
 
@@ -28,22 +29,20 @@ def with_trend(df: DataFrame) -> DataFrame:
 
 
 def history_mean(history: Column) -> Column:
-    """Mean of an array with one decimal, summed as decimals (exact, order-free)."""
-    total = F.aggregate(
-        history,
-        F.lit(0).cast("decimal(20,4)"),
-        lambda acc, x: (acc + x.cast("decimal(18,4)")).cast("decimal(20,4)"),
-    )
-    return F.round(total / F.size(history), 1).cast("double")
+    """Mean of an array of non-negative values, one decimal, half-up, in whole numbers."""
+    total = F.aggregate(history, F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(scaled(x), F.lit(0)))
+    parts = F.size(history) * F.lit(SCALE).cast("bigint")
+    return F.floor((total * 10 + parts / 2) / parts) / F.lit(10.0)
 
 
 def with_history_stats(df: DataFrame) -> DataFrame:
+    """Statistics of ``history``, whose values have one decimal already."""
     history = F.col("history")
     return df.withColumns(
         {
             "avg_aqi": history_mean(history),
-            "max_aqi": F.round(F.array_max(history), 1),
-            "min_aqi": F.round(F.array_min(history), 1),
+            "max_aqi": F.array_max(history),
+            "min_aqi": F.array_min(history),
             "reading_count": F.size(history).cast("long"),
         }
     )

@@ -9,6 +9,7 @@ from skysift.functions import rules, scoring
 from skysift.functions.cleaning import or_else, with_city, with_defaults
 from skysift.operators.rolling import with_history, with_history_stats, with_trend
 from skysift.operators.windows import with_labels, window_report
+from skysift.session import staged
 
 RECORD = [
     "city", "timestamp", "aqi", "pm25", "pm10", "no2", "o3", "co", "so2",
@@ -33,10 +34,11 @@ def with_judgement(
     replaces the real history length in the confidence rule.
     """
     history, aqi = F.col("history"), F.col("aqi")
-    expected = aqi if prediction is None else F.coalesce(prediction, aqi)
+    # The index has one decimal already.
+    expected = aqi if prediction is None else F.round(F.coalesce(prediction, aqi), 1)
     arrow, ahead = F.col("trend"), F.col("next_hour_aqi")
     seen = F.size(history) if history_len is None else F.lit(history_len)
-    base = df.withColumns({"next_hour_aqi": F.round(expected, 1), "severity": scoring.severity(aqi)})
+    base = df.withColumns({"next_hour_aqi": expected, "severity": scoring.severity(aqi)})
     return with_trend(base).withColumns(
         {
             "insight": rules.insight(history, aqi, arrow),
@@ -95,4 +97,10 @@ def enrich_windows(windows: DataFrame, prediction: Column | None = None) -> Data
 
 
 def window_records(readings: DataFrame, seconds: int, prediction: Column | None = None) -> DataFrame:
-    return enrich_windows(windows_as_readings(window_report(readings, seconds)), prediction)
+    """Window report and its enrichment.
+
+    The report is a small fraction of the readings and is read more than once
+    afterwards, so it is written first: the readings are scanned a single time.
+    """
+    report = staged(window_report(readings, seconds), "report")
+    return enrich_windows(windows_as_readings(report), prediction)

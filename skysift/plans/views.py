@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skysift import constants as K
 from skysift.functions import rules
 from skysift.functions.cleaning import display, name_contains, text_or, with_city
-from skysift.operators.lookups import keep_active, newest_rows, with_active_flag
+from skysift.operators.lookups import keep_active, newest_rows, recent_rows, with_active_flag
 from skysift.operators.ordered import event_order
 from skysift.plans.enrich import enrich_readings
 
@@ -20,7 +20,7 @@ def latest_records(readings: DataFrame) -> DataFrame:
     is enriched.
     """
     order = event_order(readings)
-    recent = newest_rows(with_city(readings), K.HISTORY_ROWS, order)
+    recent = recent_rows(with_city(readings), K.HISTORY_ROWS, order)
     extra = [c for c in order if c == "event_id"]
     return newest_rows(enrich_readings(recent, extra=extra, split=False), 1, ["timestamp", *extra])
 

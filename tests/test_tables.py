@@ -81,7 +81,17 @@ def test_latest_keeps_ties(spark):
     assert sorted((r.city, r.aqi) for r in lookups.latest_rows(df, "timestamp").collect()) == [
         ("a", 1.0), ("a", 75.0), ("b", 75.0)]
     plan = lookups.latest_rows(df, "timestamp")._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    assert "BroadcastHashJoin" in plan and "Sort" not in plan
+
+
+def test_recent_rows_equal_ranked_rows(spark):
+    rows = [row(city=c, back=b, aqi=float(b)) for c, n in (("a", 200), ("b", 3), ("c", 12)) for b in range(0, n * 7, 7)]
+    rows += [("c", None, 1.0, 1.0, True, "→", "s"), ("b", None, 2.0, 1.0, True, "→", "s")]
+    df = record(spark, *rows)
+    for n in (1, 5, 12, 13, 500):
+        wanted = lookups.newest_rows(df, n, ["timestamp", "aqi"])
+        got = lookups.recent_rows(df, n, ["timestamp", "aqi"])
+        assert got.count() == wanted.count() and wanted.exceptAll(got).isEmpty()
 
 
 def test_builtin_catalog(spark):
