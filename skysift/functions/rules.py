@@ -25,16 +25,17 @@ def exposed(history: Column, n: int = K.HISTORY_SHOWN) -> Column:
     return _newest(history, n)
 
 
-def trend(history: Column) -> Column:
-    """Compare the means of the first and last three of the newest six values."""
-    recent = _newest(history, 6)
-    n = F.size(recent)
+def _back(history: Column, n: int) -> Column:
+    """The ``n``-th newest element; null where the array is shorter."""
+    return F.get(history, F.size(history) - F.lit(n))
 
-    def mean3(start: Column) -> Column:
-        a, b, c = (F.get(recent, start + F.lit(i)) for i in range(3))
-        return (a + b + c) / F.lit(3.0)
 
-    change = mean3(n - F.lit(3)) - mean3(F.lit(0))
+def trend(history: Column) -> Column:
+    """Compare the means of the first and last three of the newest six values."""
+    start = F.greatest(F.size(history) - F.lit(6), F.lit(0))
+    a, b, c = (F.get(history, start + F.lit(i)) for i in range(3))
+    x, y, z = (_back(history, n) for n in (3, 2, 1))
+    change = (x + y + z) / F.lit(3.0) - (a + b + c) / F.lit(3.0)
     return (
         F.when(F.size(history) < 3, F.lit(K.FLAT))
         .when(change > 5.0, F.lit(K.UP))
@@ -44,14 +45,14 @@ def trend(history: Column) -> Column:
 
 
 def recent_range(history: Column) -> Column:
-    recent = _newest(history, 6)
-    return F.array_max(recent) - F.array_min(recent)
+    """Largest minus smallest of the newest six values."""
+    recent = [_back(history, n) for n in range(1, 7)]
+    return F.greatest(*recent) - F.least(*recent)
 
 
 def jump(history: Column) -> Column:
     """Newest value minus the oldest of the newest five."""
-    recent = _newest(history, 5)
-    return F.get(recent, F.size(recent) - F.lit(1)) - F.get(recent, F.lit(0))
+    return _back(history, 1) - F.get(history, F.greatest(F.size(history) - F.lit(5), F.lit(0)))
 
 
 def insight(history: Column, aqi: Column, arrow: Column) -> Column:

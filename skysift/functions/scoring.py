@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,11 +23,15 @@ def index_from_pm25(pm25: Column) -> Column:
 
 
 def _tier(aqi: Column, field: int, missing: str, beyond: str | None = None) -> Column:
-    """Pick one field of the first tier whose limit holds the value."""
-    pick = F.when(aqi.isNull(), F.lit(missing))
-    for tier in CATEGORIES:
-        pick = pick.when(aqi <= F.lit(float(tier[0])), F.lit(tier[field]))
-    return pick.otherwise(F.lit(CATEGORIES[-1][field] if beyond is None else beyond))
+    """Pick one field of the first tier whose limit holds the value.
+
+    Counting the limits below the value and indexing a constant array keeps the
+    generated code far smaller than a chain of conditions would.
+    """
+    passed = reduce(add, [(aqi > F.lit(float(tier[0]))).cast("int") for tier in CATEGORIES])
+    texts = [tier[field] for tier in CATEGORIES]
+    texts.append(texts[-1] if beyond is None else beyond)
+    return F.coalesce(F.get(F.array(*[F.lit(t) for t in texts]), passed), F.lit(missing))
 
 
 def category(aqi: Column) -> Column:

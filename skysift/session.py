@@ -14,13 +14,16 @@ BYTES_PER_PARTITION = 64 * 1024 * 1024
 
 
 def prepare(spark: SparkSession, folder: str | None = None) -> SparkSession:
-    """Event times are instants, counted in UTC; shuffles are sized by the input.
+    """Event times are instants, counted in UTC; generated code and shuffles are sized.
 
+    Generated methods beyond 8000 bytes are never compiled by the JVM and run many
+    times slower; with the limit set, Spark splits such projections instead.
     For a large ``folder`` the initial number of shuffle partitions grows with its
     bytes, so that a partition fits in an executor's memory; adaptive execution
     merges the ones that turn out small.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     if folder:
         wanted = files.size(spark, folder) // BYTES_PER_PARTITION
         if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
