@@ -106,6 +106,10 @@ ALERT_FALLBACK = "Alert active"
 INSIGHT_FALLBACK = "Waiting for data…"
 ALERTING = ["unhealthy", "very-unhealthy", "hazardous"]
 
+# --- fixed values: source tags
+SOURCE_PROVIDER = "OpenWeatherMap"
+SOURCE_FILLED = "Interpolated"
+
 # --- fixed values: stream and history sizes
 TOPIC_RAW = "raw-aqi"
 TOPIC_ENRICHED = "processed-aqi"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysift.constants import FILL_SECONDS
+from skysift.constants import FILL_SECONDS, SOURCE_FILLED
 from skysift.functions.cleaning import POLLUTANTS, is_real, traffic_level
 from skysift.operators.ordered import with_frames
 
@@ -32,7 +32,7 @@ def fill_gaps(readings: DataFrame, step: int = FILL_SECONDS) -> DataFrame:
         .withColumns(
             {
                 "traffic": traffic_level(F.hour("event_time")),
-                "source": F.lit("Interpolated"),
+                "source": F.lit(SOURCE_FILLED),
                 "is_real": F.lit(False),
             }
         )

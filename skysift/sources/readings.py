@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from skysift.constants import SOURCE_PROVIDER
 from skysift.functions.cleaning import milligrams, parsed_time, traffic_level, with_city
 
 RAW_SCHEMA = StructType(
@@ -62,7 +63,7 @@ def from_provider(responses: DataFrame, payload: Column | None = None) -> DataFr
     measures["co"] = milligrams(measures["co"])
     labels = {
         "traffic": traffic_level(F.hour("event_time")),
-        "source": F.lit("OpenWeatherMap"),
+        "source": F.lit(SOURCE_PROVIDER),
         "is_real": F.lit(True),
     }
     return part.withColumns({**measures, **labels}).drop("part", "payload")
