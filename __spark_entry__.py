@@ -20,6 +20,14 @@ from skysift.session import fresh_folder, prepare
 from skysift.sources import catalog, history, readings as messages, tables
 from skysift.streaming import jobs
 
+try:
+    import corpus_pipeline
+    from skysift.llm import queries as corpus_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "skysift.llm"):
+        raise
+    corpus_pipeline = corpus_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 SIX_HOURS = 21_600
@@ -509,9 +517,15 @@ def queries() -> dict[str, Query]:
     def ready(query: Query) -> Query:
         return lambda spark, sf_dir: query(prepare(spark, sf_dir), sf_dir)
 
-    return {name: ready(query) for name, query in _QUERIES.items()}
+    corpus = corpus_queries.queries() | {"pipeline": corpus_pipeline.run} if corpus_queries else {}
+    return {name: ready(query) for name, query in _QUERIES.items()} | corpus
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL twin of each query; ``gbt_rmse`` has none (iterative training)."""
-    return oracles.build()
+    return oracles.build() | (corpus_queries.oracle_sql() if corpus_queries else {})
+
+
+def core_queries() -> set[str]:
+    """Names of the queries that stand without the corpus operators."""
+    return set(_QUERIES)
