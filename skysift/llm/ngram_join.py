@@ -6,13 +6,13 @@ Two texts link when ``100 * |A and B| >= percent * |A or B|`` over their sets of
 1. Equal sets are one class (its smallest id stands for it), so copies never meet.
 2. Linked sets differ in few shingles. The space of hashes is cut into pieces; of two linked sets
    more pieces agree than their common pieces can be empty, so at least one filled piece
-   among the first few is the same in both (`_Pieces`). Classes that share a filled piece
-   are joined into neighbourhoods; all links lie inside one.
-3. A neighbourhood is cut into tiles by size band and hash; each pair of tiles whose sizes can
-   link is one unit of work of bounded size, which reads the texts anew.
-4. Inside a unit, hashed bitmaps bound the overlap from above by bit counts, and only
-   what passes is intersected exactly. Pairs already connected are not compared, so a unit
-   emits a spanning forest of its links; connected components follow.
+   among the first few is the same in both (`_Pieces`). The classes of one size group that share a
+   filled piece form a tile (a very full one is cut, and its cuts meet in pairs).
+3. In a tile hashed bitmaps bound each pair's overlap from above by bit counts. Classes whose
+   bound allows a link are joined into neighbourhoods; all links lie inside one.
+4. A neighbourhood is cut by size band and hash into units of work of bounded size, which read the texts anew.
+   Inside one, what the bitmaps let pass is intersected exactly. Pairs already connected are not compared, so
+   tiles and units emit spanning forests; connected components follow.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from skysift.llm.tokens import mixed, shingle_sets, slices
 from skysift.session import staged
 
 TILE_SHINGLES = 1_000_000
+TILE_ROWS = 8_192
+UNIT_ROWS = 20_000
 _HALF = np.uint64(32)
 
 
@@ -91,17 +93,21 @@ class _Pieces:
         return np.concatenate(out)
 
 
+_DESCRIBED = "id long, n_shingles long, mark binary, keys array<bigint>, bits binary"
+
+
 def _described(percent: int, k: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _Pieces(percent)
         for whole in batches:
             for batch in slices(whole, "text"):
-                sizes, marks, keys = [], [], []
+                sizes, marks, keys, maps = [], [], [], []
                 for hashes in shingle_sets(batch.column("text"), k):
                     sizes.append(len(hashes))
                     sums = [mixed(hashes + np.uint64(turn)).sum(dtype=np.uint64) for turn in (1, 2)]
                     marks.append(sums[0].tobytes() + sums[1].tobytes())
                     keys.append(pieces.keys(hashes).view(np.int64))
+                    maps.append(_bitmap(hashes, _width(len(hashes))).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id"),
@@ -111,49 +117,92 @@ def _described(percent: int, k: int):
                             pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()),
                             pa.array(np.concatenate([np.zeros(0, np.int64), *keys])),
                         ),
+                        pa.array(maps, pa.binary()),
                     ],
-                    ["id", "n_shingles", "mark", "keys"],
+                    ["id", "n_shingles", "mark", "keys", "bits"],
                 )
 
     return describe
 
 
-class _Tile:
-    """Exact links among sets of one neighbourhood, as a spanning forest."""
+def _width(n: int) -> int:
+    """Bits of the bitmap of a set of n: a power of two of one and a half times n or more."""
+    return max(64, 1 << (3 * n // 2).bit_length())
 
-    def __init__(self, percent: int):
-        self.percent = percent
 
-    def links(self, ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-        ids, sets = np.array([ids[i] for i in order]), [sets[i] for i in order]
-        sizes = np.array([len(s) for s in sets], np.int64)
-        bits = max(64, 1 << int(2 * sizes.max()).bit_length())
-        maps = np.zeros((len(ids), bits // 64), np.uint64)
-        for row, hashes in enumerate(sets):
-            spot = hashes & np.uint64(bits - 1)
-            np.bitwise_or.at(maps[row], (spot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63)))
-        group, found = np.arange(len(ids)), []
-        # Up to here sizes can link to the set at each place.
-        reach = np.searchsorted(sizes, sizes * 100 // self.percent, "right")
-        for a in range(len(ids)):
-            later = np.arange(a + 1, reach[a])
-            later = later[(group[later] != group[a]) & (ids[later] != ids[a])]
-            if not len(later):
-                continue
-            both = sizes[a] + sizes[later]
-            # Each bit set on one side only stands for an element missing on the other.
-            here = np.bitwise_count(maps[a] & ~maps[later]).sum(axis=1, dtype=np.int64)
-            there = np.bitwise_count(maps[later] & ~maps[a]).sum(axis=1, dtype=np.int64)
-            most = np.minimum(sizes[a] - here, sizes[later] - there)
-            for b in later[(100 + self.percent) * most >= self.percent * both]:
-                if group[b] == group[a]:
-                    continue
-                shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if 100 * shared >= self.percent * (sizes[a] + sizes[b] - shared):
-                    found.append((int(ids[a]), int(ids[b])))
-                    group[group == group[b]] = group[a]
-        return found
+def _bitmap(hashes: np.ndarray, width: int) -> np.ndarray:
+    spot = hashes & np.uint64(width - 1)
+    out = np.zeros(width // 64, np.uint64)
+    np.bitwise_or.at(out, (spot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63)))
+    return out
+
+
+def _folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The same set's bitmap at a smaller width."""
+    return np.bitwise_or.reduce(bitmap.reshape(-1, words), axis=0)
+
+
+def _forest(percent: int, ids: np.ndarray, sizes: np.ndarray, maps: np.ndarray, exact=None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that may link by size and bitmap, or that do by ``exact(a, b)``.
+
+    Rows are in the order of their sizes. Pairs that are connected already are passed over.
+    """
+    group, found = np.arange(len(ids)), []
+    # Up to here sizes can link to the set at each place.
+    reach = np.searchsorted(sizes, sizes * 100 // percent, "right")
+    for a in range(len(ids)):
+        later = a + 1 + np.flatnonzero(group[a + 1 : reach[a]] != group[a])
+        if not len(later):
+            continue
+        # Each bit set on one side only stands for an element missing on the other.
+        here = np.bitwise_count(maps[a] & ~maps[later]).sum(axis=1, dtype=np.int64)
+        there = np.bitwise_count(maps[later] & ~maps[a]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(sizes[a] - here, sizes[later] - there)
+        later = later[(100 + percent) * most >= percent * (sizes[a] + sizes[later])]
+        if exact is None:
+            found += [(int(ids[a]), int(ids[b])) for b in later if ids[b] != ids[a]]
+            group[np.isin(group, group[later])] = group[a]
+            continue
+        for b in later:
+            if group[b] != group[a] and ids[b] != ids[a] and exact(a, b):
+                found.append((int(ids[a]), int(ids[b])))
+                group[group == group[b]] = group[a]
+    return found
+
+
+def _tile_pairs(percent: int):
+    def pairs(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("piece", "ascending"), ("t1", "ascending"), ("t2", "ascending"), ("n_shingles", "ascending"), ("id", "ascending")])
+        ids, sizes = (table.column(c).to_numpy() for c in ("id", "n_shingles"))
+        maps, tile = table.column("bits").to_pylist(), np.stack([table.column(c).to_numpy() for c in ("piece", "t1", "t2")])
+        cuts = [0, *(1 + np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0))), len(ids)]
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b - a > 1:
+                bits = [np.frombuffer(m, np.uint64) for m in maps[a:b]]
+                least = min(map(len, bits))
+                out += _forest(percent, ids[a:b], sizes[a:b], np.stack([_folded(m, least) for m in bits]))
+        return _edges(out)
+
+    return pairs
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+
+def _links(percent: int, ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Exact links among the sets of one neighbourhood, as a spanning forest."""
+    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
+    sets = [sets[i] for i in order]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    width = _width(int(sizes.max()))
+
+    def exact(a: int, b: int) -> bool:
+        shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        return 100 * shared >= percent * (sizes[a] + sizes[b] - shared)
+
+    return _forest(percent, np.array([ids[i] for i in order]), sizes, np.stack([_bitmap(s, width) for s in sets]), exact)
 
 
 def _linked(percent: int, k: int):
@@ -166,9 +215,7 @@ def _linked(percent: int, k: int):
                 for hashes in shingle_sets(batch.column("text"), k):
                     members.setdefault(clusters[row], []).append((ids[row], hashes))
                     row += 1
-        tile = _Tile(percent)
-        pairs = [p for group in members.values() for p in tile.links([i for i, _ in group], [s for _, s in group])]
-        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+        return _edges([p for group in members.values() for p in _links(percent, [i for i, _ in group], [g for _, g in group])])
 
     return link
 
@@ -210,6 +257,24 @@ def _units(members: DataFrame, percent: int) -> DataFrame:
     return light.unionByName(placed.select("id", "cluster", F.explode(spread).alias("u")).select("id", "cluster", "u.*"))
 
 
+def _near(filed: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that connect, in each tile, all classes whose bitmaps allow a link."""
+    met = staged(
+        filed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("piece"))).filter("n > 1"), "tiles"
+    )
+    tiles = F.ceil(F.col("n") / TILE_ROWS)
+    tile = F.pmod(F.xxhash64("id"), F.col("tiles"))
+    others = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1),
+        lambda t: F.struct(F.least(t, tile).alias("t1"), F.greatest(t, tile).alias("t2")),
+    )
+    cut = met.withColumn("tiles", tiles).select("id", "piece", F.explode(others).alias("t")).select("id", "piece", "t.*")
+    units = max(1, -(-met.count() // UNIT_ROWS))
+    unit = F.pmod(F.xxhash64("piece", "t1", "t2"), F.lit(units))
+    work = cut.join(described, "id").select("id", "piece", "t1", "t2", "n_shingles", "bits", unit.alias("unit"))
+    return work.groupBy("unit").applyInArrow(_tile_pairs(percent), "a long, b long").distinct()
+
+
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``key``, ``n_shingles``, ``class_id`` (smallest id with an equal
     set) and ``component_id`` (smallest id reachable by links, its own included).
@@ -221,7 +286,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     """
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     described = staged(
-        named.mapInArrow(_described(percent, k), "id long, n_shingles long, mark binary, keys array<bigint>"), "shingles"
+        named.mapInArrow(_described(percent, k), _DESCRIBED), "shingles"
     )
     filled = described.filter("n_shingles > 0 and id is not null")
     classes = staged(
@@ -229,9 +294,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     )
     heads = classes.select(F.col("class_id").alias("id"), "mark")
     filed = filled.join(heads, ["id", "mark"]).select("id", F.explode("keys").alias("piece"))
-    first = F.min("id").over(Window.partitionBy("piece"))
-    near = filed.withColumn("first", first).filter("id > first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    around = components(near.distinct())
+    around = components(_near(filed, filled.join(heads, ["id", "mark"]).select("id", "n_shingles", "bits"), percent))
     sizes = classes.groupBy(F.col("class_id").alias("id")).agg(F.max("n_shingles").alias("n_shingles"))
     members = staged(
         around.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(sizes, "id"), "neighbours"

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import mixing, ngram_join, packing, pii, quality_rules
-from skysift.llm.common import ready, table
+from skysift.llm import katz, license_scan, mixing, ngram_join, packing, pii, quality_rules, toxicity, url_rules, vector_index
+from skysift.llm.common import crc, ready, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,12 +18,38 @@ def op1_ngram_jaccard(spark, sf):
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op2_license_scan(spark, sf):
+    return license_scan.notices(table(spark, sf, "documents")).drop("spans")
+
+
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op3_url_rules(spark, sf):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judged(table(spark, sf, "pages"), rules)
+
+
+def op4_nearest_vectors(spark, sf):
+    return vector_index.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_source_mixing(spark, sf):
     docs = table(spark, sf, "documents")
     copies = mixing.mixed(docs, mixing.repetition_rates(docs))
     return copies.select("row.*", "copy", "place")
 
 
+def op6_toxicity(spark, sf):
+    return toxicity.scored(table(spark, sf, "documents"), table(spark, sf, "labels"), crc(F.col("id")) % 3 != 1)
+
+
 def op7_personal_data(spark, sf):
     found = pii.found_in(table(spark, sf, "documents"))
     base = lambda spans: F.filter(spans, lambda s: s["rank"] < len(pii.BASE_KINDS))
@@ -40,6 +66,10 @@ def op8_best_fit_packing(spark, sf):
     return packing.packed(table(spark, sf, "documents"))
 
 
+def op9_katz_scoring(spark, sf):
+    return katz.scored(table(spark, sf, "documents"), crc(F.col("id")) % 5 != 1)
+
+
 def op10_quality_rules(spark, sf):
     docs = table(spark, sf, "documents")
     rules = quality_rules.fit(docs, table(spark, sf, "labels"))
@@ -48,9 +78,14 @@ def op10_quality_rules(spark, sf):
 
 _QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_license_scan": op2_license_scan,
+    "op3_url_rules": op3_url_rules,
+    "op4_nearest_vectors": op4_nearest_vectors,
     "op5_source_mixing": op5_source_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_personal_data": op7_personal_data,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_katz_scoring": op9_katz_scoring,
     "op10_quality_rules": op10_quality_rules,
 }
 

@@ -33,6 +33,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _BYTE = mixed(np.arange(256, dtype=np.uint64))
 
 
+#: Everything but ASCII letters and the bytes of other letters.
+NOT_LETTERS = np.array([not (97 <= b <= 122 or b >= 128) for b in range(256)])
+
+
+def hashed(words: list[str], gaps: np.ndarray = _SPACE) -> np.ndarray:
+    """Hashes of single lower-case words, as `word_hashes` gives them."""
+    data = [w.encode() for w in words]
+    offsets = np.cumsum([0, *map(len, data)])
+    return word_hashes(np.frombuffer(b"".join(data), np.uint8), offsets, lower=False, gaps=gaps)[0]
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, one after another, and where each begins; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -55,12 +66,17 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 21) -> Iterator[p
         yield batch.slice(start)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the bounds of each text's words among them."""
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, lower: bool = True, gaps: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the bounds of each text's words among them.
+
+    ``gaps`` says which (lowered) bytes part words.
+    """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     data = _LOWER[data] if lower else data
-    word = ~_SPACE[data]
+    word = ~gaps[data]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]
