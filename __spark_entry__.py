@@ -31,10 +31,9 @@ except ModuleNotFoundError as missing:
 Query = Callable[[SparkSession, str], DataFrame]
 
 SIX_HOURS = 21_600
-GAP_STEP = 3_600
 AS_OF = datetime(2024, 1, 20)
 HISTORY_HOURS = 72
-TREES = 50
+TREES = 200
 MEASURES = ["pm25", "pm10", "no2", "o3", "co", "so2"]
 
 
@@ -381,7 +380,7 @@ def single_features(spark, sf):
 
 def _labels(kind: str) -> Query:
     def query(spark, sf):
-        return _rounded(features.training_set(tables.readings(spark, sf), kind).select("event_id", "city", "label"))
+        return _rounded(features.training_set(tables.readings(spark, sf), kind).select("event_id", "city", *features.FEATURES, "label"))
 
     return query
 
@@ -391,7 +390,13 @@ def warmup_gate(spark, sf):
 
 
 def gap_fill(spark, sf):
-    return _plain(gaps.fill_gaps(tables.readings(spark, sf), GAP_STEP))
+    """Every filled point, summed up per city, day and traffic level."""
+    filled = gaps.fill_gaps(tables.readings(spark, sf))
+    sums = [F.sum(F.rint(F.col(m) * 1000).cast("bigint")).alias(f"{m}_sum") for m in MEASURES]
+    days = filled.groupBy("city", F.to_date("event_time").alias("day"), "traffic").agg(
+        F.count(F.lit(1)).alias("points"), F.min("event_time").alias("first_time"), F.max("event_time").alias("last_time"), *sums
+    )
+    return _plain(days)
 
 
 def gbt_rmse(spark, sf):

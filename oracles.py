@@ -13,6 +13,7 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+# The breakpoints of the index.
 def _index(x: str) -> str:
     return f"""CASE WHEN {x} IS NULL THEN 0::DOUBLE
       WHEN {x} >= 0 AND {x} <= 12::DOUBLE THEN 0::DOUBLE + ({x} - 0::DOUBLE) / (12::DOUBLE - 0::DOUBLE) * 50::DOUBLE
@@ -212,6 +213,10 @@ def _display(x: str, suffix: str = "") -> str:
     return f"coalesce(nullif({x}::VARCHAR, '') || '{suffix}', '—')"
 
 
+def _number(x: str) -> str:
+    return f"coalesce(format('{{:g}}', {x}), '—')"
+
+
 def build() -> dict[str, str]:
     report = "window_start, window_end, city, avg_aqi, avg_pm25, avg_pm10, avg_no2, avg_o3, avg_co, avg_so2, max_aqi, min_aqi, reading_count"
     predicted = f"""WITH {HISTORY}, predicted AS (SELECT *, coalesce(history[hn - 1], aqi) AS prediction FROM (SELECT * FROM trended WHERE hn > 1)
@@ -237,10 +242,10 @@ def build() -> dict[str, str]:
         "reading_count": f"WITH {READINGS} SELECT count(*) AS total_readings FROM readings",
         "current_snapshot": f"WITH {RECORDS} SELECT * EXCLUDE (event_id) FROM latest WHERE city IN (SELECT city FROM active)",
         "ranked_overview": f"""WITH {RECORDS} SELECT city, CASE priority WHEN 'critical' THEN '🔴' WHEN 'high' THEN '🟠' WHEN 'medium' THEN '🟡' WHEN 'low' THEN '🟢' ELSE '⚪' END AS badge,
- score, {_display("aqi")} AS aqi, {_display("category")} AS category, {_display("pm25")} AS pm25, {_display("pm10")} AS pm10, css_class
+ score, {_number("aqi")} AS aqi, {_display("category")} AS category, {_number("pm25")} AS pm25, {_number("pm10")} AS pm10, css_class
  FROM latest WHERE city IN (SELECT city FROM active) ORDER BY score DESC, city""",
-        "city_view": f"""WITH {RECORDS} SELECT city, {_display("aqi")} AS aqi, {_display("category")} AS category, trend, summary AS insight,
- {_display("next_hour_aqi")} AS prediction, prediction_note, traffic,
+        "city_view": f"""WITH {RECORDS} SELECT city, {_number("aqi")} AS aqi, {_display("category")} AS category, trend, summary AS insight,
+ {_number("next_hour_aqi")} AS prediction, prediction_note, traffic,
  CASE WHEN severity IN ('unhealthy', 'very-unhealthy', 'hazardous') THEN title ELSE 'No active alerts' END AS alert, advice AS health FROM latest""",
         "worst_city": f"""WITH {SCORED}, newest AS (SELECT * FROM scored QUALIFY rank() OVER (PARTITION BY city ORDER BY event_time DESC) = 1)
  SELECT city, aqi FROM newest ORDER BY aqi DESC, city LIMIT 1""",
@@ -295,17 +300,18 @@ def build() -> dict[str, str]:
         "real_features": _features("is_real", 12),
         "single_features": f"WITH {READINGS} SELECT event_id, {_single_feature_columns()} FROM readings",
         "training_labels": f"""WITH {READINGS}, sloped AS (SELECT *, row_number() OVER o AS rn, greatest(0, pm25 + (pm25 - lag(pm25, 5) OVER o) / 5 * 12) AS ahead
- FROM readings WINDOW o AS (PARTITION BY city ORDER BY event_time, event_id))
- SELECT event_id, city, round({_index("ahead")}, 6) AS label FROM sloped WHERE rn >= 24""",
+ FROM readings WINDOW o AS (PARTITION BY city ORDER BY event_time, event_id)), features AS ({_features("TRUE", 3)})
+ SELECT features.* EXCLUDE (event_time), round({_index("ahead")}, 6) AS label FROM sloped JOIN features USING (event_id) WHERE rn >= 24""",
         "observed_labels": f"""WITH {SCORED}, led AS (SELECT event_id, city, row_number() OVER o AS rn, lead(aqi_raw, 12) OVER o AS later
- FROM raw WINDOW o AS (PARTITION BY city ORDER BY event_time, event_id))
- SELECT event_id, city, round(later, 6) AS label FROM led WHERE rn >= 24 AND later IS NOT NULL""",
+ FROM raw WINDOW o AS (PARTITION BY city ORDER BY event_time, event_id)), features AS ({_features("TRUE", 3)})
+ SELECT features.* EXCLUDE (event_time), round(later, 6) AS label FROM led JOIN features USING (event_id) WHERE rn >= 24 AND later IS NOT NULL""",
         "warmup_gate": f"""WITH {READINGS} SELECT event_id, city, sum(CASE WHEN is_real THEN 1 ELSE 0 END) OVER (PARTITION BY city ORDER BY event_time, event_id
  ROWS UNBOUNDED PRECEDING) >= 12 AS ready FROM readings""",
         "gap_fill": f"""WITH {READINGS}, paired AS (SELECT *, lead(event_time) OVER (PARTITION BY city ORDER BY event_time, event_id) AS until FROM readings WHERE is_real),
- points AS (SELECT *, unnest(range(epoch_us(event_time) // 3600000000 + 1, (epoch_us(until) - 1) // 3600000000 + 1)) AS p FROM paired WHERE until IS NOT NULL),
- placed AS (SELECT * REPLACE (make_timestamp(p * 3600000000) AS event_time) FROM points)
- SELECT city, event_time, pm25, pm10, no2, o3, co, so2, {_traffic("hour(event_time)")} AS traffic, 'Interpolated' AS source, FALSE AS is_real FROM placed""",
+ points AS (SELECT *, unnest(range(epoch_us(event_time) // 10000000 + 1, (epoch_us(until) - 1) // 10000000 + 1)) AS p FROM paired WHERE until IS NOT NULL),
+ placed AS (SELECT * REPLACE (make_timestamp(p * 10000000) AS event_time) FROM points)
+ SELECT city, CAST(event_time AS DATE) AS day, {_traffic("hour(event_time)")} AS traffic, count(*) AS points, min(event_time) AS first_time, max(event_time) AS last_time,
+ {", ".join(f"CAST(sum(CAST(round({m} * 1000) AS BIGINT)) AS BIGINT) AS {m}_sum" for m in ("pm25", "pm10", "no2", "o3", "co", "so2"))} FROM placed GROUP BY ALL""",
     }
     q["stream_window_report"] = q["window_latest"]
     q["stream_enrichment"] = q["reading_enrichment"]

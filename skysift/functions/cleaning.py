@@ -77,6 +77,12 @@ def display(value: Column, suffix: str = "") -> Column:
     return F.coalesce(F.concat(text, F.lit(suffix)), F.lit(MISSING))
 
 
+def display_number(value: Column, suffix: str = "") -> Column:
+    """A number as the page prints it: whole ones without a fraction."""
+    whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
+    return display(F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string")), suffix)
+
+
 def place_name(name: Column, state: Column, country: Column, lat: Column, lon: Column) -> Column:
     """Display name of a custom place: its name, then state or else country."""
     fallback = F.format_string("Unknown (%.2f,%.2f)", lat, lon)

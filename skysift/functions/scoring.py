@@ -76,12 +76,20 @@ def scaled(value: Column) -> Column:
     return F.rint(value * F.lit(float(SCALE))).try_cast("bigint")
 
 
+MICRO = 1_000_000
+
+
 def rounded_mean(value: Column, digits: int) -> Column:
-    """Mean rounded half-up.
+    """Mean rounded half-up; NaN and huge or tiny values count as in a plain mean.
 
     Readings carry few decimals, so means fall on exact ties often; a floating sum
-    would decide them by the order of the rows.
+    would decide them by the order of the rows. Where every value is a whole number of millionths, but for
+    the noise of its arithmetic, the sum is exact; one other value, or an overflow, makes it the plain mean.
     """
-    whole = scaled(value)
-    total, parts = F.sum(whole).cast("decimal(20,0)"), (F.count(whole) * SCALE).cast("decimal(20,0)")
-    return F.round(total / F.nullif(parts, F.lit(0)), digits).cast("double")
+    scaled_up = value * F.lit(float(MICRO))
+    whole = F.rint(scaled_up)
+    exact = F.when((F.abs(value) < float(MICRO)) & (F.abs(scaled_up - whole) < 1e-4), whole.cast("bigint"))
+    total, parts = F.try_sum(exact), F.count(exact)
+    mean = total.cast("decimal(20,0)") / F.nullif((parts * MICRO).cast("decimal(20,0)"), F.lit(0))
+    plain = F.round(F.avg(value), digits)
+    return F.when((parts == F.count(value)) & total.isNotNull(), F.round(mean, digits).cast("double")).otherwise(plain)

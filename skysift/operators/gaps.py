@@ -10,6 +10,10 @@ from skysift.functions.cleaning import POLLUTANTS, is_real, traffic_level
 from skysift.operators.ordered import with_frames
 
 
+#: Points of one block.
+BLOCK = 8_640
+
+
 def fill_gaps(readings: DataFrame, step: int = FILL_SECONDS) -> DataFrame:
     """Repeat the last real reading on every grid point before the next real one.
 
@@ -27,7 +31,18 @@ def fill_gaps(readings: DataFrame, step: int = FILL_SECONDS) -> DataFrame:
     final = F.ceil(F.unix_micros("event_time") / micros) - 1
     return (
         gaps.filter(first <= final)
-        .select("city", *[F.col(f"last.{c}") for c in POLLUTANTS], F.explode(F.sequence(first, final)).alias("_point"))
+        .select("city", *[F.col(f"last.{c}") for c in POLLUTANTS], first.alias("_first"), final.alias("_final"))
+        # Two steps, blocks and then points, keep every array short however long a city was silent.
+        .withColumn("_block", F.explode(F.sequence(F.floor(F.col("_first") / BLOCK), F.floor(F.col("_final") / BLOCK))))
+        .withColumn(
+            "_point",
+            F.explode(
+                F.sequence(
+                    F.greatest(F.col("_first"), F.col("_block") * BLOCK),
+                    F.least(F.col("_final"), F.col("_block") * BLOCK + (BLOCK - 1)),
+                )
+            ),
+        )
         .withColumn("event_time", F.timestamp_micros(F.col("_point") * micros))
         .withColumns(
             {
@@ -36,5 +51,5 @@ def fill_gaps(readings: DataFrame, step: int = FILL_SECONDS) -> DataFrame:
                 "is_real": F.lit(False),
             }
         )
-        .drop("_point")
+        .drop("_point", "_block", "_first", "_final")
     )

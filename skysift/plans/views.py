@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skysift import constants as K
 from skysift.functions import rules
-from skysift.functions.cleaning import display, name_contains, text_or, with_city
+from skysift.functions.cleaning import display, display_number, name_contains, text_or, with_city
 from skysift.operators.lookups import keep_active, newest_rows, recent_rows, with_active_flag
 from skysift.operators.ordered import event_order
 from skysift.plans.enrich import enrich_readings
@@ -45,10 +45,10 @@ def overview(snapshot: DataFrame) -> DataFrame:
         "city",
         rules.badge(F.col("priority.priority")).alias("badge"),
         F.coalesce(F.col("priority.score"), F.lit(0)).alias("score"),
-        display(F.col("aqi")).alias("aqi"),
+        display_number(F.col("aqi")).alias("aqi"),
         display(F.col("category")).alias("category"),
-        display(F.col("pm25")).alias("pm25"),
-        display(F.col("pm10")).alias("pm10"),
+        display_number(F.col("pm25")).alias("pm25"),
+        display_number(F.col("pm10")).alias("pm10"),
         F.coalesce("css_class", F.lit("")).alias("css_class"),
     )
 
@@ -63,11 +63,11 @@ def place_view(snapshot: DataFrame) -> DataFrame:
     note = F.col("message")
     return snapshot.select(
         "city",
-        display(F.col("aqi")).alias("aqi"),
+        display_number(F.col("aqi")).alias("aqi"),
         display(F.col("category")).alias("category"),
         text_or(F.col("trend"), F.lit(K.FLAT)).alias("trend"),
         text_or(note["summary"], F.col("insight"), F.lit(K.INSIGHT_FALLBACK)).alias("insight"),
-        display(F.col("next_hour_aqi")).alias("prediction"),
+        display_number(F.col("next_hour_aqi")).alias("prediction"),
         text_or(note["prediction_note"], F.col("next_hour_label"), F.lit("")).alias("prediction_note"),
         text_or(F.col("traffic"), F.lit("Medium")).alias("traffic"),
         rules.shown_alert(note["severity"], note["title"], F.col("alert")).alias("alert"),

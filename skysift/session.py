@@ -11,6 +11,13 @@ from skysift.sources import files
 
 
 BYTES_PER_PARTITION = 64 * 1024 * 1024
+# Beyond this many the driver's record of map outputs grows too large: then partitions grow instead.
+MOST_PARTITIONS = 20_000
+
+
+def shuffle_width(size: int) -> int:
+    """Initial shuffle partitions for so many bytes of input."""
+    return min(size // BYTES_PER_PARTITION, MOST_PARTITIONS)
 
 
 def prepare(spark: SparkSession, folder: str | None = None) -> SparkSession:
@@ -25,9 +32,11 @@ def prepare(spark: SparkSession, folder: str | None = None) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     if folder:
-        wanted = files.size(spark, folder) // BYTES_PER_PARTITION
+        wanted = shuffle_width(files.size(spark, folder))
         if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
             spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
+        else:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
     return spark
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,9 +84,14 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def city_history(table: DataFrame, city: str, as_of: datetime, hours: int = 24) -> DataFrame:
-    """Rows of a city not older than ``hours`` before ``as_of``, oldest first."""
+    """Rows of a city not older than ``hours`` before ``as_of``, oldest first.
+
+    ``as_of`` without a zone is UTC; the zone of the machine plays no part.
+    """
+    as_of = as_of.replace(tzinfo=timezone.utc) if as_of.tzinfo is None else as_of.astimezone(timezone.utc)
     cutoff = as_of - timedelta(hours=hours)
-    recent = table.filter((F.col("city") == city) & (F.col("timestamp") >= F.lit(cutoff)))
+    micros = (cutoff - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+    recent = table.filter((F.col("city") == city) & (F.col("timestamp") >= F.timestamp_micros(F.lit(micros))))
     if "event_date" in table.columns:
         recent = recent.filter(F.col("event_date") >= F.lit(cutoff.date()))
     return recent.select(*COLUMNS).orderBy("timestamp")

@@ -8,13 +8,15 @@ from skysift.constants import TOPIC_ENRICHED, TOPIC_RAW
 from skysift.sources.readings import as_raw, encoded
 
 
-def source_options(brokers: str, topic: str = TOPIC_RAW, starting: str = "latest") -> dict[str, str]:
-    return {
+def source_options(brokers: str, topic: str = TOPIC_RAW, starting: str = "latest", limit: int | None = 1_000_000) -> dict[str, str]:
+    """``limit`` bounds the messages of one micro-batch, so that a backlog is worked off in many."""
+    options = {
         "kafka.bootstrap.servers": brokers,
         "subscribe": topic,
         "startingOffsets": starting,
         "failOnDataLoss": "false",
     }
+    return options | ({"maxOffsetsPerTrigger": str(limit)} if limit else {})
 
 
 def sink_options(brokers: str, topic: str = TOPIC_ENRICHED) -> dict[str, str]:

@@ -117,3 +117,9 @@ def test_place_names(spark):
     df = spark.createDataFrame(rows, "name string, state string, country string")
     name = cleaning.place_name(F.col("name"), F.col("state"), F.col("country"), F.lit(59.914), F.lit(10.75))
     assert [r[0] for r in df.select(name).collect()] == ["Oslo, Viken", "Oslo, NO", "Oslo", "Unknown (59.91,10.75)"]
+
+
+def test_numbers_are_shown_without_an_empty_fraction(spark):
+    df = spark.createDataFrame([(50.0,), (12.5,), (None,), (20_000_000.0,)], "x double")
+    shown = [r.x for r in df.select(cleaning.display_number(F.col("x")).alias("x")).collect()]
+    assert shown == ["50", "12.5", "—", "20000000"]

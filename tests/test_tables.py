@@ -1,6 +1,7 @@
 """History table, latest rows, catalog, active set, message sources."""
 
 import json
+import time
 import uuid
 from datetime import datetime, timedelta
 
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from skysift.constants import DEFAULT_ACTIVE
 from skysift.operators import lookups
+from skysift.operators.gaps import fill_gaps
 from skysift.plans import views
+from skysift.session import shuffle_width
 from skysift.sources import catalog, history, kafka, readings
 from skysift.sources.versions import VersionedTable
 
@@ -175,7 +178,9 @@ def test_topic_options():
         "subscribe": "raw-aqi",
         "startingOffsets": "latest",
         "failOnDataLoss": "false",
+        "maxOffsetsPerTrigger": "1000000",
     }
+    assert "maxOffsetsPerTrigger" not in kafka.source_options("k:9092", limit=None)
     assert kafka.sink_options("k:9092")["topic"] == "processed-aqi"
     publish = kafka.publish_options("k:9092")
     assert (publish["topic"], publish["kafka.acks"], publish["kafka.compression.type"]) == ("raw-aqi", "all", "gzip")
@@ -191,3 +196,32 @@ def test_versions_survive_replay_and_are_pruned(spark, tmp_path):
     assert table.versions() == [2, 3, 4]
     (tmp_path / "v" / "v=4" / "_SUCCESS").unlink()
     assert table.read().first().n == 3
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_city_history_ignores_the_machines_zone(spark, monkeypatch, zone):
+    table = spark.createDataFrame([("a", h) for h in (9, 11, 12)], "city string, h int").selectExpr(
+        "city", "make_timestamp(2024, 1, 20, h, 0, 0, 'UTC') AS timestamp", *[f"0.0D AS {c}" for c in
+        ("aqi", "pm25", "pm10", "no2", "o3", "co", "so2", "prediction")], "'' AS trend", "1 AS is_real", "'' AS category",
+        "'' AS source", "DATE '2024-01-20' AS event_date")
+    monkeypatch.setenv("TZ", zone)
+    time.tzset()
+    try:
+        assert history.city_history(table, "a", datetime(2024, 1, 20, 13), 2).count() == 2
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
+def test_shuffle_width_is_bounded():
+    assert shuffle_width(1 << 30) == 16
+    assert shuffle_width(100 * 10**12) == 20_000
+
+
+def test_long_silence_is_filled_in_short_arrays(spark):
+    rows = [("a", 0, True), ("a", 86_400 * 30, True), ("a", 86_400 * 31, False)]
+    df = spark.createDataFrame(rows, "city string, s long, is_real boolean").selectExpr(
+        "city", "timestamp_seconds(s) AS event_time", "s AS event_id", *[f"1.0D AS {c}" for c in ("pm25", "pm10", "no2", "o3", "co", "so2")],
+        "is_real")
+    filled = fill_gaps(df)
+    assert filled.count() == filled.select("event_time").distinct().count() == 86_400 * 3 - 1

@@ -1,7 +1,9 @@
+import math
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from skysift.functions import scoring
 from skysift.operators.windows import window_report
 from skysift.plans import enrich
 
@@ -77,3 +79,19 @@ def test_fixed_history_length_for_confidence(spark):
     recent = enrich.scored_readings(df).withColumn("history", F.array("aqi"))
     assert enrich.with_judgement(recent).first().message.confidence == "low"
     assert enrich.with_judgement(recent, history_len=10).first().message.confidence == "medium"
+
+
+def test_means_keep_every_value(spark):
+    rows = [
+        ("nan", [float("nan"), 10.0]), ("huge", [1e15, 3.0]), ("tiny", [1e-5, 1e-5]), ("tie", [0.125, 0.125]), ("null", [None, 4.0]),
+        ("large", [1e300, 1e300]),
+    ]
+    df = spark.createDataFrame([(k, v) for k, vs in rows for v in vs], "k string, x double")
+    got = {r.k: (r.two, r.five) for r in df.groupBy("k").agg(
+        scoring.rounded_mean(F.col("x"), 2).alias("two"), scoring.rounded_mean(F.col("x"), 5).alias("five")).collect()}
+    assert math.isnan(got["nan"][0])
+    assert got["huge"][0] == (1e15 + 3) / 2
+    assert got["tiny"] == (0.0, 1e-5)
+    assert got["tie"][0] == 0.13
+    assert got["null"][0] == 4.0
+    assert got["large"][0] == 1e300
