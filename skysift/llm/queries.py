@@ -97,5 +97,46 @@ def queries() -> dict[str, Query]:
     return {name: prepared(query) for name, query in _QUERIES.items()}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_OP1 = f"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id, doc_id AS at FROM s UNION SELECT r.doc_id, p.b FROM r JOIN p ON r.at = p.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
+FROM s JOIN (SELECT doc_id, min(at) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)"""
+
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+
+_OP3 = f"""WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(h, p, v) AS (VALUES {_RULES}),
+best AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+  FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN best USING (page_id)"""
+
+
+def _unit(*parts: str) -> str:
+    return f"(('0x' || substr(md5({" || '|' || ".join(parts)}), 1, 13))::BIGINT / {16**13}.0::DOUBLE)"
+
+
+_OP5 = f"""WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+r AS (SELECT source, pow(n, 0.5) / sum(pow(n, 0.5)) OVER () * sum(n) OVER () / n AS rate FROM c),
+q AS (SELECT source, CAST(greatest(ceil(rate / 8), 1) AS INT) AS parts, rate / greatest(ceil(rate / 8), 1) AS mean FROM r),
+f AS (SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS s FROM q
+  UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), s + p * mean / (k + 1) FROM f WHERE k < 63),
+u AS (SELECT doc_id, source, {_unit("'0'", "doc_id::VARCHAR", "part::VARCHAR")} AS u
+  FROM (SELECT doc_id, source, unnest(range(0, parts)) AS part FROM documents JOIN q USING (source))),
+n AS (SELECT doc_id, count(*) AS n FROM u JOIN f ON u.source = f.source AND u >= s GROUP BY doc_id),
+x AS (SELECT d.*, CAST(unnest(range(0, n.n)) AS INT) AS copy FROM documents d JOIN n USING (doc_id))
+SELECT *, {_unit("'0'", "'place'", "doc_id::VARCHAR", "copy::VARCHAR")} AS place FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of what SQL can say; the others are tested against brute force or held-out rows."""
+    return {"op1_ngram_jaccard": _OP1, "op3_url_rules": _OP3, "op5_source_mixing": _OP5}
