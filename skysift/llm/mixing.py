@@ -41,10 +41,11 @@ def repetition_rates(
             "source", "n", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight")
         )
     weighed = staged(weighed, "weights")
-    sums = weighed.agg(F.sum("weight").alias("all_weight"), F.sum("n").alias("all_rows"))
-    size = F.col("all_rows") if rows is None else F.lit(rows)
-    rate = F.col("weight") / F.col("all_weight") * size / F.col("n")
-    return weighed.crossJoin(F.broadcast(sums)).select("source", F.coalesce(rate, F.lit(0.0)).alias("rate"))  # one row
+    all_weight, all_rows = weighed.agg(F.sum("weight"), F.sum("n")).first()  # two numbers
+    if not all_weight:
+        return weighed.select("source", F.lit(0.0).alias("rate"))
+    rate = F.col("weight") / F.lit(all_weight) * F.lit(float(all_rows if rows is None else rows)) / F.col("n")
+    return weighed.select("source", rate.alias("rate"))
 
 
 def _tables(rates: DataFrame) -> DataFrame:
