@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +67,11 @@ def enrich_readings(
     return judged_readings(with_history(scored_readings(readings), **ordering), prediction, extra)
 
 
+def with_score(rows: DataFrame, score: Callable[[DataFrame], DataFrame] | None) -> tuple[DataFrame, Column | None]:
+    """Rows after the ``score`` step, which adds ``prediction`` to each row, and that column; without a step no column."""
+    return (rows, None) if score is None else (score(rows), F.col("prediction"))
+
+
 def windows_as_readings(report: DataFrame) -> DataFrame:
     """A window report seen as one reading per window, timed at the window's end."""
     value = F.round(or_else(F.col("latest_aqi"), F.col("avg_aqi")), 1)
@@ -91,16 +98,24 @@ def judged_windows(recent: DataFrame, prediction: Column | None = None, extra: l
     return judged.withColumnRenamed("event_time", "timestamp").select(*RECORD, *(extra or []))
 
 
-def enrich_windows(windows: DataFrame, prediction: Column | None = None) -> DataFrame:
-    """One enriched record per (window, city)."""
-    return judged_windows(with_history(windows, order=["event_time"]), prediction)
+def enrich_windows(
+    windows: DataFrame, prediction: Column | None = None, score: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """One enriched record per (window, city); ``score`` may add the prediction instead of a column."""
+    rows, scored = with_score(windows, score)
+    return judged_windows(with_history(rows, order=["event_time"]), prediction if scored is None else scored)
 
 
-def window_records(readings: DataFrame, seconds: int, prediction: Column | None = None) -> DataFrame:
+def window_records(
+    readings: DataFrame,
+    seconds: int,
+    prediction: Column | None = None,
+    score: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Window report and its enrichment.
 
     The report is a small fraction of the readings and is read more than once
     afterwards, so it is written first: the readings are scanned a single time.
     """
     report = staged(window_report(readings, seconds), "report")
-    return enrich_windows(windows_as_readings(report), prediction)
+    return enrich_windows(windows_as_readings(report), prediction, score)

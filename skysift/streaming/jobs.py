@@ -21,13 +21,15 @@ from skysift.operators.lookups import keep_active, latest_rows, latest_state
 from skysift.operators.ordered import event_order
 from skysift.operators.rolling import with_history
 from skysift.operators.windows import watermarked, window_report
-from skysift.plans.enrich import judged_readings, judged_windows, scored_readings, windows_as_readings
+from skysift.plans.enrich import judged_readings, judged_windows, scored_readings, windows_as_readings, with_score
 from skysift.sources import history
 from skysift.sources.catalog import active_set
 from skysift.sources.kafka import publish_enriched
 from skysift.sources.versions import VersionedTable
 
 Sink = Callable[[DataFrame, int], None]
+# Adds ``prediction`` to each row, e.g. ``lambda rows: forecast.score_reading(rows, model)``.
+Score = Callable[[DataFrame], DataFrame]
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -126,16 +128,25 @@ def _enrich(
 
 
 def enrich_stream(
-    readings: DataFrame, sink: Sink, work: str, extra: list[str] | None = None, drain: bool = False
+    readings: DataFrame,
+    sink: Sink,
+    work: str,
+    extra: list[str] | None = None,
+    drain: bool = False,
+    score: Score | None = None,
 ) -> StreamingQuery:
-    """One enriched record per reading, with history in order of arrival.
+    """One enriched record per reading, with history in order of arrival, predicted by ``score`` if given.
 
     Within a batch readings are ordered by event time; one that arrives in a later
     batch is appended late. Output equals the batch query when batches arrive in
     order.
     """
     rows = scored_readings(readings)
-    return _enrich(rows, event_order(readings), lambda r: judged_readings(r, extra=extra), sink, work, drain)
+
+    def finish(recent: DataFrame) -> DataFrame:
+        return judged_readings(*with_score(recent, score), extra)
+
+    return _enrich(rows, event_order(readings), finish, sink, work, drain)
 
 
 def enrich_window_stream(
@@ -145,11 +156,12 @@ def enrich_window_stream(
     seconds: int = WINDOW_SECONDS,
     delay: int = WATERMARK_SECONDS,
     drain: bool = False,
+    score: Score | None = None,
 ) -> StreamingQuery:
-    """One enriched record per closed window, in order of the windows' ends."""
+    """One enriched record per closed window, in order of the windows' ends, predicted by ``score`` if given."""
     use_disk_state(readings.sparkSession)
     windows = windows_as_readings(window_report(watermarked(readings, delay), seconds))
-    return _enrich(windows, ["event_time"], judged_windows, sink, work, drain)
+    return _enrich(windows, ["event_time"], lambda r: judged_windows(*with_score(r, score)), sink, work, drain)
 
 
 STATE_ORDER = ["timestamp", "arrival"]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skysift.operators.windows import window_report
-from skysift.plans import enrich, views
+from skysift.plans import enrich, forecast, views
 from skysift.sources import catalog, history
 from skysift.sources.readings import file_stream
 from skysift.streaming import jobs
@@ -102,6 +102,29 @@ def test_reading_enrichment_with_restart(feed, small_segments, limit):
     same(feed.result(), enrich.enrich_readings(feed.table(), extra=["event_id"]))
 
 
+def test_trained_model_scores_a_stream(feed, spark):
+    data = rows(300)
+    table = spark.createDataFrame(data, SCHEMA)
+    model = forecast.train(table, trees=3).model
+
+    def score(df):
+        return forecast.score_reading(df, model)
+
+    for part in chunks(data, 100):
+        feed.add(part)
+    jobs.enrich_stream(feed.stream(), jobs.file_sink(feed.out), feed.work, ["event_id"], drain=True, score=score).awaitTermination()
+    scored, column = enrich.with_score(enrich.scored_readings(table), score)
+    wanted = enrich.judged_readings(enrich.with_history(scored), column, ["event_id"])
+    same(feed.result(), wanted)
+    assert wanted.filter("next_hour_aqi <> aqi").count() > 100
+
+
+def test_window_records_take_a_score(spark):
+    table = spark.createDataFrame(rows(200), SCHEMA)
+    got = enrich.window_records(table, 300, score=lambda df: df.withColumn("prediction", F.lit(42.0)))
+    assert {r.next_hour_aqi for r in got.select("next_hour_aqi").collect()} == {42.0}
+
+
 def test_out_of_order_batches_append_in_order_of_arrival(feed):
     def reading(i, minute, pm25):
         return (i, START + timedelta(minutes=minute), "a", pm25, 1.0, 1.0, 1.0, 1.0, 1.0, "Low", "s", True)
