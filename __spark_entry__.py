@@ -34,6 +34,7 @@ SIX_HOURS = 21_600
 AS_OF = datetime(2024, 1, 20)
 HISTORY_HOURS = 72
 TREES = 200
+BATCHES = 5
 MEASURES = ["pm25", "pm10", "no2", "o3", "co", "so2"]
 
 
@@ -72,8 +73,20 @@ def _trended(spark: SparkSession, sf: str) -> DataFrame:
     return rolling.with_trend(rolling.with_history(_scored(spark, sf)))
 
 
+def _in_parts(spark: SparkSession, df: DataFrame, time: str) -> str:
+    """A folder of ``BATCHES`` loads in order of time, written one after the other: files arrive as on a live stream."""
+    folder, seconds = fresh_folder(spark, "arrivals"), F.unix_seconds(F.col(time).cast("timestamp"))
+    first, last = df.agg(F.min(seconds), F.max(seconds)).first()
+    step = ((last or 0) - (first or 0)) // BATCHES + 1
+    load = F.coalesce(F.floor((seconds - F.lit(first or 0)) / step), F.lit(0))
+    for n in range(BATCHES):
+        df.filter(load == n).write.mode("append").parquet(folder)
+    return folder
+
+
 def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
-    events = messages.file_stream(spark, sf, tables.EVENTS_SCHEMA, pathGlobFilter="events.parquet")
+    whole = spark.read.schema(tables.EVENTS_SCHEMA).parquet(f"{sf}/events.parquet")
+    events = messages.file_stream(spark, _in_parts(spark, whole, "ts"), tables.EVENTS_SCHEMA, files_per_batch=1)
     return tables.readings_from_events(events, tables.cities(spark, sf))
 
 
@@ -426,6 +439,18 @@ def stream_enrichment(spark, sf):
     return _flat(spark.read.parquet(f"{work}/out").drop("batch"))
 
 
+def stream_scored(spark, sf):
+    """As ``stream_enrichment``, with a score step whose predictions can be checked by hand."""
+    work = fresh_folder(spark, "scored-stream")
+
+    def score(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("prediction", scoring.clamp_prediction(F.col("aqi") * 3 - 100))
+
+    sink = jobs.file_sink(f"{work}/out")
+    jobs.enrich_stream(_events_stream(spark, sf), sink, work, extra=["event_id"], drain=True, score=score).awaitTermination()
+    return _flat(spark.read.parquet(f"{work}/out").drop("batch"))
+
+
 def stream_window_enrichment(spark, sf):
     work = fresh_folder(spark, "window-stream")
     sink = jobs.file_sink(f"{work}/out")
@@ -510,6 +535,7 @@ _QUERIES: dict[str, Query] = {
     "gbt_rmse": gbt_rmse,
     "stream_window_report": stream_window_report,
     "stream_enrichment": stream_enrichment,
+    "stream_scored": stream_scored,
     "stream_window_enrichment": stream_window_enrichment,
     "stream_latest_state": stream_latest_state,
     "stream_history": stream_history,

@@ -121,21 +121,25 @@ def _message(prediction: str) -> str:
     )
 
 
-def _record(time: str, strict: bool) -> str:
+def _record(time: str, strict: bool, ahead: str = "aqi") -> str:
     """Columns of the enriched record that are decided from aqi and history."""
     beyond = ("Unknown", "good") if strict else (None, None)
     return f"""city, {time} AS timestamp, aqi, pm25, pm10, no2, o3, co, so2, trend, {_INSIGHT} AS insight, coalesce({_ALERT}, '') AS alert,
- traffic, source, is_real, round(aqi, 1) AS next_hour_aqi, {_tier("aqi", 1, beyond[0])} AS next_hour_label,
- {_tier("aqi", 2, beyond[1])} AS next_hour_css, {_shown("history")} AS history_aqi, {_message("aqi")},
- {_level(_points("aqi"))} AS priority, round_even({_points("aqi")}, 0)::INT AS score"""
+ traffic, source, is_real, round({ahead}, 1) AS next_hour_aqi, {_tier(ahead, 1, beyond[0])} AS next_hour_label,
+ {_tier(ahead, 2, beyond[1])} AS next_hour_css, {_shown("history")} AS history_aqi, {_message(ahead)},
+ {_level(_points(ahead))} AS priority, round_even({_points(ahead)}, 0)::INT AS score"""
 
 
 _STATS30 = """round(list_sum(list_transform(history, lambda v: CAST(v AS DECIMAL(18,4)))) / len(history) + 1e-9, 1)::DOUBLE AS avg_aqi,
  round(list_max(history), 1) AS max_aqi, round(list_min(history), 1) AS min_aqi, len(history) AS reading_count"""
 
+def _reading_records(source: str, ahead: str = "aqi") -> str:
+    return f"""SELECT event_id, {_record("event_time", False, ahead)}, {_tier("aqi", 1)} AS category, {_tier("aqi", 2)} AS css_class,
+            {_tier("aqi", 3)} AS health_advisory, {_STATS30} FROM {source}"""
+
+
 RECORDS = f"""{HISTORY},
-records AS (SELECT event_id, {_record("event_time", False)}, {_tier("aqi", 1)} AS category, {_tier("aqi", 2)} AS css_class,
-            {_tier("aqi", 3)} AS health_advisory, {_STATS30} FROM trended),
+records AS ({_reading_records("trended")}),
 latest AS (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY city ORDER BY timestamp DESC, event_id DESC) = 1)"""
 
 _HISTORY_COLUMNS = """city, timestamp, aqi, pm25, pm10, no2, o3, co, so2, trend, CASE WHEN next_hour_aqi = 0 THEN NULL ELSE next_hour_aqi END AS prediction,
@@ -315,6 +319,8 @@ def build() -> dict[str, str]:
     }
     q["stream_window_report"] = q["window_latest"]
     q["stream_enrichment"] = q["reading_enrichment"]
+    scored = "(SELECT *, round(least(greatest(aqi * 3 - 100, 0), 500), 1) AS prediction FROM trended)"
+    q["stream_scored"] = f"WITH {HISTORY} {_reading_records(scored, 'prediction')}"
     q["stream_window_enrichment"] = _window_records(300, closed=True)
     q["stream_latest_state"] = f"WITH {RECORDS} SELECT * EXCLUDE (event_id) FROM latest"
     q["stream_history"] = history_rows
