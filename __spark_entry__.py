@@ -11,6 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 import oracles
 from skysift.functions import cleaning, rules, scoring, sql
@@ -73,21 +74,20 @@ def _trended(spark: SparkSession, sf: str) -> DataFrame:
     return rolling.with_trend(rolling.with_history(_scored(spark, sf)))
 
 
-def _in_parts(spark: SparkSession, df: DataFrame, time: str) -> str:
-    """A folder of ``BATCHES`` loads in order of time, written one after the other: files arrive as on a live stream."""
-    folder, seconds = fresh_folder(spark, "arrivals"), F.unix_seconds(F.col(time).cast("timestamp"))
-    first, last = df.agg(F.min(seconds), F.max(seconds)).first()
+def _drained(spark: SparkSession, sf: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Run a job over ``BATCHES`` loads of the events in order of time, stopped and restarted after each.
+
+    A load is one micro-batch, however many files it has.
+    """
+    events = spark.read.schema(tables.EVENTS_SCHEMA).parquet(f"{sf}/events.parquet")
+    folder, seconds = fresh_folder(spark, "arrivals"), F.unix_seconds(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
     step = ((last or 0) - (first or 0)) // BATCHES + 1
     load = F.coalesce(F.floor((seconds - F.lit(first or 0)) / step), F.lit(0))
     for n in range(BATCHES):
-        df.filter(load == n).write.mode("append").parquet(folder)
-    return folder
-
-
-def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
-    whole = spark.read.schema(tables.EVENTS_SCHEMA).parquet(f"{sf}/events.parquet")
-    events = messages.file_stream(spark, _in_parts(spark, whole, "ts"), tables.EVENTS_SCHEMA, files_per_batch=1)
-    return tables.readings_from_events(events, tables.cities(spark, sf))
+        events.filter(load == n).write.mode("append").parquet(folder)
+        stream = messages.file_stream(spark, folder, tables.EVENTS_SCHEMA)
+        start(tables.readings_from_events(stream, tables.cities(spark, sf))).awaitTermination()
 
 
 # --- scoring and windows ---------------------------------------------------------------
@@ -428,14 +428,14 @@ def gbt_rmse(spark, sf):
 def stream_window_report(spark, sf):
     work = fresh_folder(spark, "report-stream")
     sink = jobs.file_sink(f"{work}/out")
-    jobs.report_windows(_events_stream(spark, sf), sink, work, drain=True).awaitTermination()
+    _drained(spark, sf, lambda rows: jobs.report_windows(rows, sink, work, drain=True))
     return _plain(jobs.last_emissions(spark, f"{work}/out", ["window_start", "city"]))
 
 
 def stream_enrichment(spark, sf):
     work = fresh_folder(spark, "reading-stream")
     sink = jobs.file_sink(f"{work}/out")
-    jobs.enrich_stream(_events_stream(spark, sf), sink, work, extra=["event_id"], drain=True).awaitTermination()
+    _drained(spark, sf, lambda rows: jobs.enrich_stream(rows, sink, work, extra=["event_id"], drain=True))
     return _flat(spark.read.parquet(f"{work}/out").drop("batch"))
 
 
@@ -447,14 +447,14 @@ def stream_scored(spark, sf):
         return rows.withColumn("prediction", scoring.clamp_prediction(F.col("aqi") * 3 - 100))
 
     sink = jobs.file_sink(f"{work}/out")
-    jobs.enrich_stream(_events_stream(spark, sf), sink, work, extra=["event_id"], drain=True, score=score).awaitTermination()
+    _drained(spark, sf, lambda rows: jobs.enrich_stream(rows, sink, work, extra=["event_id"], drain=True, score=score))
     return _flat(spark.read.parquet(f"{work}/out").drop("batch"))
 
 
 def stream_window_enrichment(spark, sf):
     work = fresh_folder(spark, "window-stream")
     sink = jobs.file_sink(f"{work}/out")
-    jobs.enrich_window_stream(_events_stream(spark, sf), sink, work, drain=True).awaitTermination()
+    _drained(spark, sf, lambda rows: jobs.enrich_window_stream(rows, sink, work, drain=True))
     return _flat(spark.read.parquet(f"{work}/out").drop("batch"))
 
 
