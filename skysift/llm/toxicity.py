@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysift.llm.tokens import NOT_LETTERS, hashed, slices, text_bytes, word_hashes
+from skysift.session import staged
 
 #: Words with a weight: the most telling ones by likelihood ratio.
 LEXICON_WORDS = 2_000
@@ -162,16 +163,21 @@ def _labelled_words(model: np.ndarray):
     return count
 
 
-def lexicon(labelled: DataFrame, model: np.ndarray, words: int = LEXICON_WORDS) -> list[tuple[int, float]]:
-    """(word hash, weight) of the words that speak for label 1, from all labelled (text, toxic) rows.
+def lexicon(named: DataFrame, marks: DataFrame, model: np.ndarray, words: int = LEXICON_WORDS) -> list[tuple[int, float]]:
+    """(word hash, weight) of the words that speak for label 1, from all labelled rows: texts (id, text), marks (id, toxic).
 
-    Equal texts with equal labels count once, so that a group of copies does not make its words telling.
+    Equal texts with equal labels count once, so that a group of copies does not make its words telling. One id stands for
+    each of them; found among hashes, so that whole texts are shuffled once only, and by the same plan at every size.
     """
-    once = labelled.groupBy(F.xxhash64("text").alias("mark"), "toxic").agg(F.min("text").alias("text")).drop("mark")
-    totals = once.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
+    marked = named.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    chosen = marked.select("id", "mark").join(marks, "id").groupBy("mark", "toxic").agg(F.min("id").alias("id"))
+    chosen = staged(chosen, "labelled")
+    totals = chosen.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     bad_docs, docs = int(totals[0]), int(totals[1])
     if not bad_docs or bad_docs == docs:
         return []
+    found = marked.join(chosen.hint("shuffle_hash"), ["id", "mark"])
+    once = found.groupBy("id", "mark", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     counts = once.mapInArrow(_labelled_words(model), "word long, bad long, n long").groupBy("word").agg(
         F.sum("bad").alias("bad"), F.sum("n").alias("n")
     )
@@ -244,8 +250,7 @@ def scored(
     marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(
         F.max((F.col(label) > 0).cast("long")).alias("toxic")
     )
-    known = named.filter(learnable).join(marks, "id")
-    pairs = lexicon(known.select(F.coalesce("text", F.lit("")).alias("text"), "toxic"), model)
+    pairs = lexicon(named.filter(learnable), marks, model)
     order = np.array(sorted((np.int64(w).astype(np.uint64), v) for w, v in pairs), object).reshape(-1, 2)
     words, weights = order[:, 0].astype(np.uint64), order[:, 1].astype(np.float64)
     chosen = marks.filter(learnable).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
