@@ -1,41 +1,29 @@
 """Bounded row frames over few, heavy keys.
 
 A frame such as "the last 30 readings of this city" partitions by city, so one
-task would hold all rows of a city. That is fine while cities are small. A city
-with more than ``skysift.segment.rows`` readings is cut along time into segments
-of about that many rows. A row frame only ever looks back ``carry`` rows, so each
-segment also receives copies of the ``carry`` rows before it; they feed the
-frames and are dropped afterwards. Results equal those of the uncut window.
-
-How a heavy city is cut:
-
-1. Count rows per city (map-side combined). No heavy city → plain window.
-2. Lay equal time slots over each heavy city, in number proportional to its rows,
-   and count rows per slot. Slots that are themselves too full (bursts) are laid
-   out again, until all fit or hold a single instant.
-3. Group consecutive slots into segments. This table has a few entries per
-   segment, is written to the shared folder and joined by its real size; the number
-   of segments is bounded, so that it stays small enough to broadcast.
-4. Only the slots just before a segment border supply carried rows, and of each
-   only its last ``carry`` rows (limited before the shuffle).
+task would hold all rows of a city. Here the rows are dealt once into segments:
+ranges of the total order (city, time, id), about as large as any other shuffle
+partition, so a busy city spreads over many and small cities share one. A row frame
+only ever looks back ``carry`` rows, so each segment also receives copies of
+the last ``carry`` rows before it; they feed the frames and are dropped afterwards.
+Results equal those of the uncut window, at every size and for every key.
+
+Only the last city of a segment can go on in the next one, so at most ``carry`` rows
+of a segment are copied on. A segment with fewer rows than that passes on what it got.
+Missing times and equal instants are told apart by id. Rows that agree in
+the whole order stay together: without ids these are exact copies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from skysift.session import staged
 
-SEGMENT_ROWS = 250_000
-# Bounds the table of slots (a few MB): beyond it segments grow instead.
-MAX_SEGMENTS = 100_000
-SLOTS_PER_SEGMENT = 4
-MAX_LEVELS = 4
-
-_SEGMENT, _CARRIED, _POSITION = "_segment", "_carried", "_position"
+_SEGMENT, _CARRIED = "_segment", "_carried"
 
 
 def event_order(df: DataFrame) -> list[str]:
@@ -52,102 +40,37 @@ def with_frames(
     add: Callable[[DataFrame, WindowSpec], DataFrame],
     key: str = "city",
     order: Sequence[str] | None = None,
-    position: Column | None = None,
     split: bool = True,
 ) -> DataFrame:
     """Apply ``add(frame, window)`` where frames look back at most ``carry`` rows per key.
 
-    ``position`` is a long column that never decreases along ``order`` (nulls
-    first); by default the event time in microseconds. ``split=False`` is for callers
-    that have already limited the rows of each key.
+    ``split=False`` is for callers that have already limited the rows of each key.
     """
     order = list(order or event_order(df))
-    whole = Window.partitionBy(key).orderBy(*order)
     if not split:
-        return add(df, whole)
-    position = F.unix_micros("event_time") if position is None else position
-    limit = int(df.sparkSession.conf.get("skysift.segment.rows", str(SEGMENT_ROWS)))
-    located = df.withColumn(_POSITION, position)
-    heavy = _counted(located, [key]).filter(F.col("_rows") > limit)
-    if heavy.isEmpty():
-        return add(df, whole)
-    frame = _segmented(located, heavy, carry, key, order, limit).select(*df.columns, _SEGMENT, _CARRIED)
+        return add(df, Window.partitionBy(key).orderBy(*order))
+    dealt = df.repartitionByRange(key, *order).withColumn(_SEGMENT, F.spark_partition_id())
+    own = staged(dealt, "segments").withColumn(_CARRIED, F.lit(False))
+    frame = own.unionByName(_carried(own, carry, key, order))
     out = add(frame, Window.partitionBy(key, _SEGMENT).orderBy(*order))
     return out.filter(~F.col(_CARRIED)).drop(_SEGMENT, _CARRIED)
 
 
-def _counted(located: DataFrame, by: list[str]) -> DataFrame:
-    return located.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(_POSITION).alias("_from"), F.max(_POSITION).alias("_to")
-    )
-
-
-def _segmented(
-    located: DataFrame, heavy: DataFrame, carry: int, key: str, order: list[str], limit: int
-) -> DataFrame:
-    crowded, grids = staged(heavy, "slots"), []
-    limit = max(limit, crowded.agg(F.sum("_rows")).first()[0] // MAX_SEGMENTS)
-    for level in range(MAX_LEVELS):
-        grids.append(_grid(crowded, [key, *_slots(level)], limit))
-        tagged = _tagged(located, key, grids)
-        counts = staged(_counted(tagged.filter("_s0 is not null"), [key, *_slots(level + 1)]), "slots")
-        # Rows of a single instant cannot be told apart by time: they stay together.
-        crowded = counts.filter((F.col("_rows") > limit) & (F.col("_to") > F.col("_from")))
-        if crowded.isEmpty():
-            break
-    slots = _slots(len(grids))
-    plan = staged(_segment_plan(counts, key, slots, carry, limit), "segments")
-
-    spots = tagged.join(plan, [key, *slots], "left")
-    own = spots.withColumn(_SEGMENT, F.coalesce("_first", F.lit(0).cast("long"))).withColumn(_CARRIED, F.lit(False))
-    newest_first = Window.partitionBy(key, *slots).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    borders = (
-        spots.filter(F.col("_last") > F.col("_first"))
-        .withColumn("_back", F.row_number().over(newest_first))
-        .filter(F.col("_back") <= carry)
-        .drop("_back")
-        .withColumn(_SEGMENT, F.explode(F.sequence(F.col("_first") + 1, F.col("_last"))))
-        .withColumn(_CARRIED, F.lit(True))
-    )
-    return own.unionByName(borders)
-
-
-def _slots(levels: int) -> list[str]:
-    return [f"_s{i}" for i in range(levels)]
-
-
-def _grid(crowded: DataFrame, by: list[str], limit: int) -> DataFrame:
-    """Equal slots over each crowded span, about ``SLOTS_PER_SEGMENT`` per segment."""
-    parts = F.ceil(F.col("_rows") * SLOTS_PER_SEGMENT / limit)
-    return crowded.select(*by, "_from", (F.floor((F.col("_to") - F.col("_from")) / parts) + 1).alias("_width"))
-
+def _carried(own: DataFrame, carry: int, key: str, order: list[str]) -> DataFrame:
+    """Copies of the rows that later segments look back to.
 
-def _tagged(located: DataFrame, key: str, grids: list[DataFrame]) -> DataFrame:
-    """Number each row's slot on every level; rows of keys that are not heavy get none."""
-    out = located
-    for level, grid in enumerate(grids):
-        steps = F.floor((F.col(_POSITION) - F.col("_from")) / F.col("_width"))
-        slot = F.when(F.col("_width").isNotNull(), F.coalesce(steps, F.lit(-1).cast("long")))
-        if level:
-            slot = slot.when(F.col("_s0").isNotNull(), F.lit(0).cast("long"))
-        out = (
-            out.join(grid, [key, *_slots(level)], "left").withColumn(f"_s{level}", slot).drop("_from", "_width")
-        )
-    return out
-
-
-def _segment_plan(counts: DataFrame, key: str, slots: list[str], carry: int, limit: int) -> DataFrame:
-    """Per slot of a heavy key: its segment and the last segment that needs its rows."""
-    along = Window.partitionBy(key).orderBy(*slots)
-    numbered = counts.withColumn("_through", F.sum("_rows").over(along)).withColumn(
-        "_nth", F.floor((F.col("_through") - F.col("_rows")) / F.lit(limit))
-    )
-    fresh = F.coalesce((F.col("_nth") != F.lag("_nth").over(along)).cast("long"), F.lit(0).cast("long"))
-    segments = numbered.withColumn("_new", fresh).withColumn("_first", F.sum("_new").over(along))
-    # Slots whose rows end fewer than ``carry`` rows before a segment starts feed that segment.
-    near = Window.partitionBy(key).orderBy("_through").rangeBetween(0, carry - 1)
+    ``_back`` counts from a segment's end, ``_at`` along all such rows of a key.
+    """
+    backwards = Window.partitionBy(_SEGMENT).orderBy(*[F.col(c).desc_nulls_last() for c in (key, *order)])
+    tail = own.withColumn("_back", F.row_number().over(backwards)).filter(F.col("_back") <= carry)
+    going_on = tail.withColumn("_open", F.first(key).over(backwards)).filter(F.col(key).eqNullSafe(F.col("_open")))
+    along = Window.partitionBy(key).orderBy(_SEGMENT, F.col("_back").desc())
+    near = Window.partitionBy(key).orderBy("_at").rangeBetween(0, carry - 1)
+    last = F.max(F.when(F.col("_back") == 1, F.col(_SEGMENT))).over(near)
     return (
-        segments.withColumn("_next", F.coalesce(F.lead("_first").over(along), F.col("_first")))
-        .withColumn("_last", F.max("_next").over(near))
-        .select(key, *slots, "_first", "_last")
+        going_on.withColumn("_at", F.row_number().over(along))
+        .withColumn("_last", last)
+        .withColumn(_SEGMENT, F.explode(F.sequence(F.col(_SEGMENT) + 1, F.col("_last") + 1)))
+        .withColumn(_CARRIED, F.lit(True))
+        .drop("_back", "_open", "_at", "_last")
     )

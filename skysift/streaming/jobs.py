@@ -102,8 +102,7 @@ class _CityHistory:
         arrived = fresh.withColumn("arrival", F.lit(batch_id).cast("long"))
         rows = arrived.unionByName(self.carry.read(before=batch_id), allowMissingColumns=True)
         order = ["arrival", *self.order]
-        position = F.when(F.col("arrival") == batch_id, F.unix_micros("event_time"))
-        recent = with_history(rows, order=order, position=position).filter(F.col("arrival") == batch_id)
+        recent = with_history(rows, order=order).filter(F.col("arrival") == batch_id)
         newest = Window.partitionBy("city").orderBy(*[F.col(c).desc_nulls_last() for c in order])
         tail = rows.select(*self.kept).withColumn("_nth", F.row_number().over(newest))
         return recent.drop("arrival"), tail.filter(F.col("_nth") < HISTORY_ROWS).drop("_nth")

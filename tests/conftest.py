@@ -28,10 +28,13 @@ def spark(tmp_path_factory):
 
 @pytest.fixture
 def small_segments(spark):
-    """Cut cities above a handful of rows, to exercise the segmented plan."""
+    """Deal rows into so many segments, however few they are."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
 
-    def limit(rows: int):
-        spark.conf.set("skysift.segment.rows", str(rows))
+    def parts(n: int):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
 
-    yield limit
-    spark.conf.unset("skysift.segment.rows")
+    yield parts
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

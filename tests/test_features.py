@@ -53,7 +53,7 @@ def by_city(all_rows):
     return {c: sorted((r for r in all_rows if r[2] == c), key=lambda r: (r[1], r[0])) for c in ("a", "b")}
 
 
-@pytest.mark.parametrize("limit", [None, 25])
+@pytest.mark.parametrize("limit", [None, 8])
 def test_features_match_brute_force(data, small_segments, limit):
     source, df = data
     if limit:
@@ -70,7 +70,7 @@ def test_features_match_brute_force(data, small_segments, limit):
             assert math.isclose(got[key][name], value, rel_tol=1e-9, abs_tol=1e-6)
 
 
-@pytest.mark.parametrize("limit", [None, 30])
+@pytest.mark.parametrize("limit", [None, 12])
 def test_labels_match_brute_force(data, small_segments, limit):
     source, df = data
     if limit:

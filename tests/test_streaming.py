@@ -90,7 +90,7 @@ def test_late_reading_is_dropped(feed, spark):
     same(jobs.last_emissions(spark, feed.out, ["window_start", "city"]), wanted)
 
 
-@pytest.mark.parametrize("limit", [None, 40])
+@pytest.mark.parametrize("limit", [None, 6])
 def test_reading_enrichment_with_restart(feed, small_segments, limit):
     if limit:
         small_segments(limit)
