@@ -26,8 +26,21 @@ _PATTERNS = {
     "ip": _FRESH.format("0-9") + r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": _FRESH.format("0-9") + r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    # Where a code may begin; how far it goes is tried from each such place.
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])",
 }
+# Signs of an account code by country.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_BY_COUNTRY = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _LENGTHS.items())
+# The country's own length first; then, as a code of another length or country, all that follows.
+_CODES = [rf"^(?:{_BY_COUNTRY})(?![A-Za-z0-9])", r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"]
+# A code of 34 signs with a blank before each from the fifth on, and the sign after it.
+_REACH = 65
 # What a text must hold for a pattern to be tried.
 _HINTS = {
     "email": lambda t: t.contains("@"),
@@ -87,6 +100,30 @@ def _confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _account_codes(text: Column, begins: Column) -> Column:
+    """Of the places where a code may begin those that hold one, leftmost first and not inside one before."""
+
+    def reached(s: Column) -> Column:
+        def tried(tail: Column) -> Column:
+            codes = [F.regexp_extract(tail, pattern, 0) for pattern in _CODES]
+            return F.coalesce(*[let(c, lambda v: F.when(_confirmed("iban", v), v)) for c in codes], F.lit(""))
+
+        value = let(F.substr(text, s["start"] + 1, F.lit(_REACH)), tried)
+        return let(value, lambda v: s.withField("value", v).withField("end", s["start"] + F.length(v)))
+
+    codes = F.filter(F.transform(begins, reached), lambda s: s["value"] != "")
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("kept"))
+
+    def step(state: Column, s: Column) -> Column:
+        fresh = s["start"] >= state["at"]
+        return F.struct(
+            F.when(fresh, s["end"]).otherwise(state["at"]).alias("at"),
+            F.when(fresh, F.concat(state["kept"], F.array(s))).otherwise(state["kept"]).alias("kept"),
+        )
+
+    return F.aggregate(codes, start, step, lambda state: state["kept"])
+
+
 def _mentions(around: Column, names: tuple[str, ...]) -> Column:
     return around.rlike("(?:^|[^a-z])(?:" + "|".join(names) + ")") if names else F.lit(False)
 
@@ -134,7 +171,8 @@ def _spans(kind: str, text: Column) -> Column:
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")
     )
     found = let(both, lambda parts: F.when(F.size(parts["hits"]) > 0, placed(parts)).otherwise(F.array().cast(SPAN)))
-    kept = F.transform(F.filter(found, lambda s: _confirmed(kind, s["value"])), scored)
+    confirmed = _account_codes(text, found) if kind == "iban" else F.filter(found, lambda s: _confirmed(kind, s["value"]))
+    kept = F.transform(confirmed, scored)
     if kind not in BASE_KINDS:
         kept = F.filter(kept, lambda s: s["score"] >= LEAST_SCORE)
     return F.when(_HINTS[kind](text), kept).otherwise(F.array().cast(SPAN))
