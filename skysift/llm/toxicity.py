@@ -29,20 +29,25 @@ THRESHOLD = 0.7
 
 _LOOKS = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il",
-    "+": "t", "(": "c", "<": "c",
+    "+": "t", "(": "c", "<": "c", "#": "h",
 }
 _SIGNS = re.escape("".join(_LOOKS))
 # What a letter left out saves in the character model, about; leaving out must not win by this alone.
 _LETTER = -2.5
 _SWAP, _ANY, _RARE, _HALF, _DROP = (math.log(p) for p in (0.3, 0.02, 0.05, 0.5, 0.005))
+# What a sign costs that stays the sign it is, beside that of an edge of a word.
+_SAME = math.log(0.05)
 _EDGE, _OTHER, _SIZE = 26, 27, 28
+_LETTERS = rf"[a-z{_SIGNS}*]"
+_TOKEN = re.compile(rf"{_LETTERS}+(?:[._-]{_LETTERS}+)*")
+# A look-alike or filler beside a letter, a doubled letter, an inner separator, or signs alone that are no number.
 _SUSPECT = re.compile(
-    # Letters with look-alikes or filler among them; single letters in a row; a letter three times.
-    rf"(?<![a-z])[a-z0-9@$!|+(<*]*(?:[a-z][{_SIGNS}*]+[a-z]|(?<![^\s\"'])[{_SIGNS}][a-z])[a-z0-9@$!|+(<*]*"
-    rf"|(?<![^\W_])(?:[a-z{_SIGNS}][ ._*-]){{2,}}[a-z{_SIGNS}](?![^\W_])"
-    r"|[a-z]*([a-z])\1\1[a-z]*"
+    rf"[a-z][{_SIGNS}*]|[{_SIGNS}*][a-z]|([a-z])\1|{_LETTERS}[._-]{_LETTERS}|@[{_SIGNS}]{{2}}|[0-9]*[@$][0-9]*[@$]"
 )
-_TAIL = re.compile(r"[!|$+(<*]+$")
+_SPACED = re.compile(rf"(?<![^\W_])(?:[a-z{_SIGNS}][ ._*-]){{2,}}[a-z{_SIGNS}](?![^\W_])")
+# Signs that are plain punctuation at either end of a token.
+_ENDS = "!|$+(<*#"
+_CACHED = 500_000
 
 
 def _symbols(data: np.ndarray) -> np.ndarray:
@@ -81,16 +86,20 @@ class Decoder:
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
         self.restored = lru_cache(100_000)(self._restored)
+        self.known: dict[str, list[str]] = {}
 
     @staticmethod
     def _options(token: str) -> list[list[tuple[str, float]]]:
         """For each sign what it may stand for, with log costs; the empty text leaves it out."""
-        out = []
+        out, head, tail = [], len(token) - len(token.lstrip(_ENDS)), len(token.rstrip(_ENDS))
         for i, c in enumerate(token):
             run = i - len(token[:i].rstrip(c))
             again = run or token[i + 1 : i + 2] == c
             if c in _LOOKS:
-                out.append([(x, _SWAP) for x in _LOOKS[c]] + [("", _DROP + _LETTER)])
+                left_out = _SAME if i < head or i >= tail else _DROP + _LETTER
+                out.append([(x, _SWAP) for x in _LOOKS[c]] + [("", left_out)])
+            elif c == "*" and again and (i < head or i >= tail):
+                out.append([("", 0.0)])  # several at an end are markup, as a plain text has it
             elif c == "*":
                 out.append([(chr(x), _ANY) for x in range(97, 123)] + [("", _HALF + _LETTER)])
             elif not c.isalpha():
@@ -103,8 +112,22 @@ class Decoder:
                 out.append([(c, 0.0)])
         return out
 
+    def _unchanged(self, token: str) -> float:
+        """What the token costs as it stands: its signs are edges, which part words."""
+        score, a, b = 0.0, _EDGE, _EDGE
+        for i, sign in enumerate([*token, " "]):
+            c = ord(sign) - 97 if "a" <= sign <= "z" else _EDGE
+            if c != _EDGE or b != _EDGE:
+                score, a, b = score + self.model[a][b][c], b, c
+            if c == _EDGE and i < len(token) and sign != " ":
+                score += _SAME
+        return score
+
     def _restored(self, token: str) -> list[str]:
-        """The best readings of a token, of those that end in different letters; the first is the best."""
+        """The best readings of a token, of those that end in different letters; the first is the best.
+
+        None that is far less likely than the token as it stands: its own words count anyway.
+        """
         model = self.model
         beam: dict[tuple[int, int], tuple[float, str]] = {(_EDGE, _EDGE): (0.0, "")}
         for options in self._options(token):
@@ -119,17 +142,29 @@ class Decoder:
                     if state not in after or reached[0] > after[state][0]:
                         after[state] = reached
             beam = after
-        ends = sorted(((score + model[a][b][_EDGE], text) for (a, b), (score, text) in beam.items()), reverse=True)
-        return [text for score, text in ends[:3] if score > ends[0][0] - 3]
+        ends = sorted(((score + model[a][b][_EDGE], text) for (a, b), (score, text) in beam.items() if text), reverse=True)
+        if not ends:
+            return []
+        least = max(ends[0][0], self._unchanged(token)) - 3
+        return [text for score, text in ends[:3] if score > least]
+
+    def _readings(self, token: str) -> list[str]:
+        # Runs beyond a long word's length are noise, but are still read in pieces.
+        return [word for i in range(0, len(token), 40) for word in self.restored(token[i : i + 40])]
 
     def words(self, text: str) -> list[str]:
         """Restored forms of all suspect tokens of a lower-cased text."""
         out = []
-        for hit in _SUSPECT.finditer(text):
-            token = _TAIL.sub("", hit.group())
-            if len(token) > 2 and not token.isdigit():
-                # Runs beyond a long word's length are noise, but are still read in pieces.
-                out += [word for i in range(0, len(token), 40) for word in self.restored(token[i : i + 40])]
+        for token in _TOKEN.findall(text):
+            found = self.known.get(token)
+            if found is None:
+                found = self._readings(token) if len(token) > 2 and _SUSPECT.search(token) else []
+                if len(self.known) >= _CACHED:
+                    self.known.clear()
+                self.known[token] = found
+            out += found
+        for hit in _SPACED.finditer(text):
+            out += self._readings(hit.group())
         return out
 
 
