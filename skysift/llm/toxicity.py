@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from skysift.llm.tokens import NOT_LETTERS, hashed, slices, text_bytes, word_hashes
 from skysift.session import staged
 
-#: Words with a weight: the most telling ones by likelihood ratio.
-LEXICON_WORDS = 2_000
+#: Weights that go to every task, of the most telling words by likelihood ratio; the others are joined. Changes no result.
+NEAR_WORDS = 100_000
+#: Bits, by the first bits of a hash, of the words that are joined: only words whose bit is set are asked for.
+FILTER_BITS = 24
 #: Labelled documents at most that the logistic model is fitted on, chosen by a hash of their ids.
 FIT_ROWS = 20_000
 THRESHOLD = 0.7
@@ -198,8 +201,8 @@ def _labelled_words(model: np.ndarray):
     return count
 
 
-def lexicon(named: DataFrame, marks: DataFrame, model: np.ndarray, words: int = LEXICON_WORDS) -> list[tuple[int, float]]:
-    """(word hash, weight) of the words that speak for label 1, from all labelled rows: texts (id, text), marks (id, toxic).
+def lexicon(named: DataFrame, marks: DataFrame, model: np.ndarray) -> DataFrame:
+    """(word hash, weight, gain) of all words that speak for label 1, from all labelled rows: texts (id, text), marks (id, toxic).
 
     Equal texts with equal labels count once, so that a group of copies does not make its words telling. One id stands for
     each of them; found among hashes, so that whole texts are shuffled once only, and by the same plan at every size.
@@ -210,7 +213,7 @@ def lexicon(named: DataFrame, marks: DataFrame, model: np.ndarray, words: int =
     totals = chosen.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     bad_docs, docs = int(totals[0]), int(totals[1])
     if not bad_docs or bad_docs == docs:
-        return []
+        return named.sparkSession.createDataFrame([], "word long, weight double, gain double")
     found = marked.join(chosen.hint("shuffle_hash"), ["id", "mark"])
     once = found.groupBy("id", "mark", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     counts = once.mapInArrow(_labelled_words(model), "word long, bad long, n long").groupBy("word").agg(
@@ -221,37 +224,89 @@ def lexicon(named: DataFrame, marks: DataFrame, model: np.ndarray, words: int =
     part = lambda seen, hoped: F.when(seen > 0, seen * F.ln(seen / hoped)).otherwise(F.lit(0.0))
     gain = 2 * (part(F.col("bad"), F.col("n") * share) + part(clean, F.col("n") * (1 - share)))
     telling = counts.withColumn("weight", weight).withColumn("gain", gain).filter("weight > 1 and gain > 15 and bad >= 3")
-    return [(r["word"], r["weight"]) for r in telling.orderBy(F.desc("gain"), "word").limit(words).collect()]
+    return staged(telling.select("word", "weight", "gain"), "lexicon")
 
 
-# --- score -----------------------------------------------------------------------------
+def _slots(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of each word in the filter."""
+    place = words >> np.uint64(64 - FILTER_BITS)
+    return (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8)
 
 
-def _features(batches: Iterator[pa.RecordBatch], model: np.ndarray, words: np.ndarray, weights: np.ndarray):
-    decoder = Decoder(model)
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            rows = []
-            for own, _ in _word_sets(batch, decoder):
-                at = np.minimum(np.searchsorted(words, own), max(0, len(words) - 1))
-                hit = weights[at[words[at] == own]] if len(words) else weights
-                rows.append((float(hit.max(initial=0.0)), float(np.log1p(hit.sum()))))
-            yield batch, np.array(rows).reshape(-1, 2)
+def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits, some = np.zeros(1 << (FILTER_BITS - 3), np.uint8), False
+    for batch in batches:
+        at, bit = _slots(batch.column("word").to_numpy().view(np.uint64))
+        np.bitwise_or.at(bits, at, bit)
+        some |= len(at) > 0
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+
+@dataclass
+class Lexicon:
+    """The nearest words with weights, sorted, and the filter of the rest."""
 
+    words: np.ndarray
+    weights: np.ndarray
+    bits: np.ndarray
+
+
+def split_lexicon(telling: DataFrame) -> tuple[Lexicon, DataFrame]:
+    """The ``NEAR_WORDS`` most telling words, and the table of all others."""
+    near = telling.orderBy(F.desc("gain"), "word").limit(NEAR_WORDS).collect()
+    rest = telling.filter(F.lit(False))
+    if near:
+        gain, word = near[-1]["gain"], near[-1]["word"]
+        rest = telling.filter((F.col("gain") < gain) | ((F.col("gain") == gain) & (F.col("word") > word)))
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in rest.select("word").mapInArrow(_filters, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(r["bits"], np.uint8)
+    order = sorted((np.int64(r["word"]).astype(np.uint64), r["weight"]) for r in near)
+    words, weights = np.array([w for w, _ in order], np.uint64), np.array([v for _, v in order], np.float64)
+    return Lexicon(words, weights, bits), rest.select("word", "weight")
+
+
+# --- score -----------------------------------------------------------------------------
+
+
+def _described(model: np.ndarray, known: Lexicon):
+    """In place of each text the greatest and the sum of its near words' weights, and the words to ask for."""
+    words, weights = known.words, known.weights
 
-def _described(model: np.ndarray, words: np.ndarray, weights: np.ndarray, fitted: np.ndarray | None):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, x in _features(batches, model, words, weights):
-            if fitted is None:
-                extra, names = [pa.array(x[:, 0]), pa.array(x[:, 1])], ["most", "all"]
-            else:
-                extra, names = [pa.array(1 / (1 + np.exp(-(x @ fitted[:2] + fitted[2]))))], ["score"]
-            keep = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *extra], [*keep, *names])
+        decoder = Decoder(model)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                most, total, asks = [], [], []
+                for own, _ in _word_sets(batch, decoder):
+                    at = np.minimum(np.searchsorted(words, own), max(0, len(words) - 1))
+                    hit = words[at] == own if len(words) else np.zeros(len(own), bool)
+                    most.append(float(weights[at[hit]].max(initial=0.0)))
+                    total.append(float(weights[at[hit]].sum()))
+                    byte, bit = _slots(own)
+                    asks.append(own[~hit & (known.bits[byte] & bit > 0)].view(np.int64))
+                keep = [n for n in batch.schema.names if n != "text"]
+                extra = [pa.array(most, pa.float64()), pa.array(total, pa.float64()), pa.array(asks, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *extra], [*keep, "most", "total", "asks"])
 
     return describe
 
 
+def _weighed(texts: DataFrame, model: np.ndarray, known: Lexicon, rest: DataFrame) -> DataFrame:
+    """Rows of (id, text, toxic) as (id, toxic, most, all): greatest weight, logarithm of the sum of weights."""
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), "id", "toxic", "text")
+    found = rows.mapInArrow(_described(model, known), "row long, id long, toxic long, most double, total double, asks array<bigint>")
+    asked = found.select("row", "id", "toxic", "most", "total", F.explode_outer("asks").alias("asked"))
+    # Texts that ask for nothing are spread by their number.
+    asked = asked.withColumn("word", F.coalesce("asked", F.xxhash64("row"))).join(rest, "word", "left")
+    weight = F.when(F.col("asked").isNotNull(), F.coalesce("weight", F.lit(0.0))).otherwise(F.lit(0.0))
+    sums = asked.withColumn("weight", weight).groupBy("row", "id", "toxic").agg(
+        F.greatest(F.max("most"), F.max("weight")).alias("most"), F.log1p(F.max("total") + F.sum("weight")).alias("all")
+    )
+    return sums.select("id", "toxic", "most", "all")
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     """Ridge-penalised logistic regression by Newton steps; without both labels the prior decides."""
     z = np.column_stack([x, np.ones(len(x))])
@@ -285,16 +340,15 @@ def scored(
     marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(
         F.max((F.col(label) > 0).cast("long")).alias("toxic")
     )
-    pairs = lexicon(named.filter(learnable), marks, model)
-    order = np.array(sorted((np.int64(w).astype(np.uint64), v) for w, v in pairs), object).reshape(-1, 2)
-    words, weights = order[:, 0].astype(np.uint64), order[:, 1].astype(np.float64)
+    known, rest = split_lexicon(lexicon(named.filter(learnable), marks, model))
     chosen = marks.filter(learnable).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     sample = named.join(F.broadcast(chosen), "id").select("id", "text", "toxic")  # fit_rows pairs of numbers at most
-    rows = sample.mapInArrow(
-        _described(model, words, weights, None), "id long, toxic long, most double, all double"
-    ).collect()
+    rows = _weighed(sample, model, known, rest).collect()
     fitted = _logistic(np.array([(r["most"], r["all"]) for r in rows]).reshape(-1, 2), np.array([r["toxic"] for r in rows], np.float64))
-    out = named.mapInArrow(_described(model, words, weights, fitted), "id long, score double")
+    most, every, bias = (float(w) for w in fitted)
+    out = _weighed(named.withColumn("toxic", F.lit(None).cast("long")), model, known, rest).withColumn(
+        "score", 1 / (1 + F.exp(-(F.col("most") * most + F.col("all") * every + bias)))
+    )
     return out.select(
         F.col("id").alias(key), F.coalesce(~learnable, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
