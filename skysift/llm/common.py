@@ -38,3 +38,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def crc(key: Column) -> Column:
     """CRC-32 of a key written as text."""
     return F.crc32(key.cast("string").cast("binary"))
+
+
+#: Keys with at least one in so many of a table's rows count as hot; there are at most as many of them.
+HOT_SHARE = 1_000
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Left join of staged ``rows`` with staged ``groups`` of one row per key, whose ``size`` counts a key's rows.
+
+    The at most ``HOT_SHARE`` hot keys are joined beside the rows by broadcast; the others are shuffled, none of
+    them large. ``key`` is not null in ``groups``.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.filter(F.col(size) * HOT_SHARE >= total)
+    rest = groups.filter(F.col(size) * HOT_SHARE < total)
+    met = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    missing = others.filter(F.col(key).isNull())
+    for field in groups.schema:
+        if field.name != key:
+            missing = missing.withColumn(field.name, F.lit(None).cast(field.dataType))
+    return met.unionByName(others.filter(F.col(key).isNotNull()).join(rest, key, "left")).unionByName(missing)
