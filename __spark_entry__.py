@@ -9,17 +9,17 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 import oracles
 from skysift.functions import cleaning, rules, scoring, sql
 from skysift.operators import features, gaps, lookups, rolling, windows
-from skysift.plans import enrich, forecast, views
-from skysift.session import fresh_folder, prepare
-from skysift.sources import catalog, history, readings as messages, tables
-from skysift.streaming import jobs
+from skysift.plans import enrich, forecast, trees, views
+from skysift.session import fresh_folder, prepare, staged
+from skysift.sources import catalog, files, history, readings as messages, tables
+from skysift.streaming import jobs, keyed
 
 try:
     import corpus_pipeline
@@ -35,7 +35,10 @@ SIX_HOURS = 21_600
 AS_OF = datetime(2024, 1, 20)
 HISTORY_HOURS = 72
 TREES = 200
+COMPILED_TREES = 20
 BATCHES = 5
+WARM_LOADS = 2
+MERGED_LOADS = 12
 MEASURES = ["pm25", "pm10", "no2", "o3", "co", "so2"]
 
 
@@ -74,20 +77,39 @@ def _trended(spark: SparkSession, sf: str) -> DataFrame:
     return rolling.with_trend(rolling.with_history(_scored(spark, sf)))
 
 
-def _drained(spark: SparkSession, sf: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
-    """Run a job over ``BATCHES`` loads of the events in order of time, stopped and restarted after each.
+def _loads(events: DataFrame) -> Column:
+    """The load of an event when the events arrive in ``BATCHES`` loads in order of time."""
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
+    step = ((last or 0) - (first or 0)) // BATCHES + 1
+    return F.coalesce(F.floor((seconds - F.lit(first or 0)) / step), F.lit(0))
+
+
+def _delayed(load: Column) -> Column:
+    """Every seventh event arrives one to three loads late, the last load at the latest."""
+    behind = F.when(F.col("event_id") % 7 == 3, F.col("event_id") % 3 + 1).otherwise(F.lit(0))
+    return F.least(load + behind, F.lit(BATCHES - 1))
+
 
-    A load is one micro-batch, however many files it has.
+def _drained(
+    spark: SparkSession,
+    sf: str,
+    *start: Callable[[DataFrame], StreamingQuery],
+    first: int = 0,
+    arrival: Callable[[Column], Column] = lambda load: load,
+) -> str:
+    """Run jobs over ``BATCHES`` loads of the events, by default in order of time, stopped and restarted after each.
+
+    A load is one micro-batch, however many files it has. Loads before ``first`` are left out. Returns where the events are.
     """
     events = spark.read.schema(tables.EVENTS_SCHEMA).parquet(f"{sf}/events.parquet")
-    folder, seconds = fresh_folder(spark, "arrivals"), F.unix_seconds(F.col("ts").cast("timestamp"))
-    first, last = events.agg(F.min(seconds), F.max(seconds)).first()
-    step = ((last or 0) - (first or 0)) // BATCHES + 1
-    load = F.coalesce(F.floor((seconds - F.lit(first or 0)) / step), F.lit(0))
-    for n in range(BATCHES):
+    folder, load = fresh_folder(spark, "arrivals"), arrival(_loads(events))
+    for n in range(first, BATCHES):
         events.filter(load == n).write.mode("append").parquet(folder)
-        stream = messages.file_stream(spark, folder, tables.EVENTS_SCHEMA)
-        start(tables.readings_from_events(stream, tables.cities(spark, sf))).awaitTermination()
+        for job in start:
+            stream = messages.file_stream(spark, folder, tables.EVENTS_SCHEMA)
+            job(tables.readings_from_events(stream, tables.cities(spark, sf))).awaitTermination()
+    return folder
 
 
 # --- scoring and windows ---------------------------------------------------------------
@@ -422,6 +444,48 @@ def gbt_rmse(spark, sf):
     ).withColumn("rmse", F.lit(fitted.rmse))
 
 
+def _compiled(spark, sf):
+    readings = tables.readings(spark, sf)
+    fitted = forecast.train(readings, trees=COMPILED_TREES)
+    return readings, fitted, trees.ensemble(fitted.model)
+
+
+def _agreement(by_model: DataFrame, by_columns: DataFrame, name: str) -> DataFrame:
+    """Per city the rows scored by a fitted model, and those that column expressions score alike, to the last digit."""
+    other = by_columns.select("event_id", F.col("prediction").alias("_other"))
+    both = by_model.select("event_id", "city", "prediction").join(other, "event_id", "full")
+    same = F.col("prediction").eqNullSafe(F.col("_other"))
+    return both.groupBy("city").agg(F.count(F.lit(1)).alias(name), F.count_if(same).alias(f"{name}_alike"))
+
+
+def forecast_expression(spark, sf):
+    """A fitted forecast against its column expressions: after each real reading of a warmed-up city, and from each reading alone."""
+    readings, fitted, compiled = _compiled(spark, sf)
+    full = _agreement(forecast.score_history(readings, fitted.model), forecast.score_history(readings, compiled), "history_rows")
+    alone = _agreement(forecast.score_reading(readings, fitted.model), forecast.score_reading(readings, compiled), "single_rows")
+    return alone.join(full, "city", "left").select("city", "single_rows", "single_rows_alike", "history_rows", "history_rows_alike")
+
+
+def forecast_error(spark, sf):
+    """Split, error on the held-out share worked out in plain columns, and a saved model read again."""
+    rows = features.training_set(tables.readings(spark, sf))
+    fit_rows, test_rows = forecast.split(rows)
+    path = f"{fresh_folder(spark, 'model')}/forecast"
+    readings = tables.readings(spark, sf)
+    first = forecast.load_or_train(spark, path, readings, trees=COMPILED_TREES)
+    again = forecast.load_or_train(spark, path, readings, trees=1)  # finds the first one
+    compiled = trees.ensemble(first)
+    error = F.sqrt(F.avg(F.pow(F.col("raw_prediction") - F.col("label"), F.lit(2.0))))
+    plain = trees.with_prediction(test_rows, compiled, "raw_prediction").agg(error.alias("plain"))
+    measured = forecast.rmse(first.transform(test_rows))
+    share = fit_rows.count() / max(rows.count(), 1)
+    return plain.select(
+        F.lit(rows.count()).alias("rows"), F.lit(fit_rows.count() + test_rows.count()).alias("split_rows"),
+        F.lit(abs(share - 0.8) < 0.1).alias("share_is_near"), (F.abs(F.col("plain") / F.lit(measured) - 1) < 1e-9).alias("error_is_equal"),
+        F.lit(trees.ensemble(again) == compiled).alias("model_is_kept"),
+    )
+
+
 # --- streams ---------------------------------------------------------------------------
 
 
@@ -458,6 +522,106 @@ def stream_window_enrichment(spark, sf):
     return _flat(spark.read.parquet(f"{work}/out").drop("batch"))
 
 
+def stream_keyed_enrichment(spark, sf):
+    """As ``stream_enrichment``, with each city's history in keyed state."""
+    work = fresh_folder(spark, "keyed-stream")
+    sink = jobs.file_sink(f"{work}/out")
+    _drained(spark, sf, lambda rows: jobs.enrich_keyed(rows, sink, work, extra=["event_id"], drain=True))
+    return _flat(spark.read.parquet(f"{work}/out").drop("batch"))
+
+
+def stream_warm_start(spark, sf):
+    """The first loads are enriched as a table and appended to a history; a fresh stream takes up the others where that ends."""
+    work, events = fresh_folder(spark, "warm-stream"), spark.read.schema(tables.EVENTS_SCHEMA).parquet(f"{sf}/events.parquet")
+    early = tables.readings_from_events(events.filter(_loads(events) < WARM_LOADS), tables.cities(spark, sf))
+    history.append_history(enrich.enrich_readings(early), f"{work}/history")
+    known = keyed.carried_values(history.read_history(spark, f"{work}/history"), ["timestamp"])
+    sink = jobs.file_sink(f"{work}/out")
+
+    def start(rows: DataFrame) -> StreamingQuery:
+        return jobs.enrich_keyed(rows, sink, work, extra=["event_id"], drain=True, initial=known)
+
+    _drained(spark, sf, start, first=WARM_LOADS)
+    return _flat(spark.read.parquet(f"{work}/out").drop("batch"))
+
+
+def stream_late_rows(spark, sf):
+    """Loads that hold late events: those whose window is closed are kept apart and counted, the report covers the others."""
+    work = fresh_folder(spark, "late-stream")
+    gate = lambda rows: jobs.gate_late(rows, jobs.once_sink(f"{work}/kept"), jobs.once_sink(f"{work}/late"), f"{work}/gate", drain=True)
+    schema = tables.readings(spark, sf).schema
+
+    def report(_: DataFrame) -> StreamingQuery:
+        rows = messages.file_stream(spark, f"{work}/kept", schema).select(*schema.names)
+        return jobs.report_windows(rows, jobs.file_sink(f"{work}/out"), f"{work}/report", drain=True)
+
+    _drained(spark, sf, gate, report, arrival=_delayed)
+    counted = jobs.last_emissions(spark, f"{work}/out", ["window_start", "city"]).select(
+        "window_start", "city", "reading_count", "max_aqi", "min_aqi"
+    )
+    late = jobs.late_counts(spark.read.parquet(f"{work}/late")).select("window_start", "city", "late_rows", "most_behind")
+    return _plain(counted.join(late, ["window_start", "city"], "full"))
+
+
+def stream_forecast(spark, sf):
+    """Readings scored by a fitted model inside a stream, against the same model applied to the table: rows that agree, per city."""
+    readings, fitted, compiled = _compiled(spark, sf)
+    work = fresh_folder(spark, "forecast-stream")
+    sink = jobs.file_sink(f"{work}/out")
+    score = lambda rows: forecast.score_reading(rows, compiled)
+    _drained(spark, sf, lambda rows: jobs.enrich_keyed(rows, sink, work, extra=["event_id"], drain=True, score=score))
+    scored = forecast.score_reading(enrich.scored_readings(readings), fitted.model)
+    streamed = spark.read.parquet(f"{work}/out").select("event_id", F.col("next_hour_aqi").alias("prediction"))
+    return _agreement(scored, streamed, "rows")
+
+
+def history_merged(spark, sf):
+    """Many loads, merged while a reader is under way and one load is replayed: the table's rows, its loads, and what the reader saw."""
+    path = fresh_folder(spark, "merged")
+    records = staged(enrich.enrich_readings(tables.readings(spark, sf), extra=["event_id"]), "records")
+    load = F.pmod(F.col("event_id"), F.lit(MERGED_LOADS))
+    for n in range(MERGED_LOADS):
+        history.append_history(records.filter(load == n), path, load=f"load-{n}")
+    before = history.read_history(spark, path)
+    history.merge_loads(spark, path)
+    history.append_history(records.filter(load == 3), path, load="load-3")  # a replay
+    now = history.read_history(spark, path)
+    loads = now.select("event_date", "load").distinct().groupBy("event_date").agg(F.count(F.lit(1)).alias("loads"))
+    seen = before.groupBy("event_date").agg(F.count(F.lit(1)).alias("seen_by_reader"))
+    return _plain(now.groupBy("event_date", "city").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("timestamp").alias("newest"), F.max("aqi").alias("max_aqi")
+    ).join(loads, "event_date").join(seen, "event_date"))
+
+
+def stream_keyed_latest(spark, sf):
+    """Enriched records in loads by day of arrival; the newest of each city, read from Spark's state."""
+    work = fresh_folder(spark, "latest-stream")
+    records = staged(enrich.enrich_readings(tables.readings(spark, sf)), "records")
+    days = F.pmod(F.dayofyear("timestamp"), F.lit(3))  # no order of time
+    for n in range(3):
+        records.filter(days == n).write.mode("append").parquet(f"{work}/records")
+        jobs.hold_latest(messages.file_stream(spark, f"{work}/records", records.schema), work, drain=True).awaitTermination()
+    return _flat(keyed.newest_held(spark, f"{work}/checkpoint", records.columns))
+
+
+def stream_live_set(spark, sf):
+    """The active set changes with every load; the last load is replayed after one more change, and sees the set it saw first."""
+    work, cities = fresh_folder(spark, "live-stream"), tables.cities(spark, sf)
+    known = cities.select(F.col("city").alias("name"), "city_key", "region", F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+    out, turns = jobs.file_sink(f"{work}/out"), iter([*range(BATCHES), 0])
+    sink = jobs.keep_live(lambda rows, n: out(rows.select("event_id", "city"), n), f"{work}/chosen", known, work)
+
+    def start(rows: DataFrame) -> StreamingQuery:
+        catalog.save_active(known.filter(F.pmod("city_key", F.lit(BATCHES)) == next(turns)).select("name"), known, f"{work}/chosen")
+        return jobs.enrich_keyed(rows, sink, work, extra=["event_id"], drain=True)
+
+    folder = _drained(spark, sf, start)
+    # As after a failure between the sink and the end of the batch.
+    files.remove(spark, f"{work}/checkpoint/commits/{BATCHES - 1}")
+    start(tables.readings_from_events(messages.file_stream(spark, folder, tables.EVENTS_SCHEMA), cities)).awaitTermination()
+    return spark.read.parquet(f"{work}/out").select(F.col("batch").cast("bigint").alias("load"), "event_id", "city")
+
+
 def _followed(spark, sf):
     """Enriched records, streamed into the latest state and the history table."""
     work = fresh_folder(spark, "follow-stream")
@@ -537,6 +701,15 @@ _QUERIES: dict[str, Query] = {
     "stream_enrichment": stream_enrichment,
     "stream_scored": stream_scored,
     "stream_window_enrichment": stream_window_enrichment,
+    "forecast_expression": forecast_expression,
+    "forecast_error": forecast_error,
+    "stream_keyed_enrichment": stream_keyed_enrichment,
+    "stream_warm_start": stream_warm_start,
+    "stream_late_rows": stream_late_rows,
+    "stream_forecast": stream_forecast,
+    "stream_keyed_latest": stream_keyed_latest,
+    "stream_live_set": stream_live_set,
+    "history_merged": history_merged,
     "stream_latest_state": stream_latest_state,
     "stream_history": stream_history,
 }

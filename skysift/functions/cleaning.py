@@ -31,6 +31,12 @@ def parsed_time(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
+def window_start(time: Column, seconds: int) -> Column:
+    """Start of the tumbling window of an event time, null for null."""
+    micros, span = F.unix_micros(time), F.lit(seconds * 1_000_000)
+    return F.timestamp_micros(micros - F.pmod(micros, span))
+
+
 def traffic_level(hour: Column) -> Column:
     return (
         F.when(hour.between(7, 10) | hour.between(17, 20), F.lit("High"))
@@ -78,9 +84,26 @@ def display(value: Column, suffix: str = "") -> Column:
 
 
 def display_number(value: Column, suffix: str = "") -> Column:
-    """A number as the page prints it: whole ones without a fraction."""
-    whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
-    return display(F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string")), suffix)
+    """A number as the page prints it: its shortest exact digits, whole ones without a fraction.
+
+    Exponents appear from 1e21 on and below 1e-6 only, as ``1.5e+21`` and ``5e-7``.
+    """
+    digits, size = value.cast("string"), F.abs(value)
+    # Decimals wide enough for 17 digits of any such number.
+    plain = F.when(size >= 1, digits.try_cast("decimal(38,16)").cast("string")).otherwise(
+        digits.try_cast("decimal(38,23)").cast("string")
+    )
+    short = F.regexp_replace(plain, r"\.?0+$", "")
+    parts = F.regexp_extract(digits, r"^(.*?)(?:\.0)?E", 1)
+    power = F.regexp_extract(digits, r"E(-?[0-9]+)$", 1)
+    sign = F.when(power.startswith("-"), F.lit("e")).otherwise(F.lit("e+"))
+    text = (
+        F.when(size == 0, F.lit("0"))
+        .when((size >= 1e-6) & (size < 1e21), short)
+        .when(digits.contains("E"), F.concat(parts, sign, power))
+        .otherwise(digits)
+    )
+    return display(text, suffix)
 
 
 def place_name(name: Column, state: Column, country: Column, lat: Column, lon: Column) -> Column:

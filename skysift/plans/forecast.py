@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skysift.functions.scoring import clamp_prediction
 from skysift.operators.features import FEATURES, real_features, single_features, training_set
+from skysift.plans.trees import Ensemble, with_prediction
 from skysift.session import shared_folder, staged
 from skysift.sources import files
 
@@ -75,18 +76,18 @@ def load_or_train(spark: SparkSession, path: str, readings: DataFrame, **setting
     return PipelineModel.load(path)
 
 
-def score_history(readings: DataFrame, model: PipelineModel) -> DataFrame:
+def score_history(readings: DataFrame, model: PipelineModel | Ensemble) -> DataFrame:
     """Predict after each real reading of a warmed-up city, from its last twelve real readings."""
     return _scored(real_features(readings), model).drop(*FEATURES)
 
 
-def score_reading(df: DataFrame, model: PipelineModel | None) -> DataFrame:
+def score_reading(df: DataFrame, model: PipelineModel | Ensemble | None) -> DataFrame:
     """Add ``prediction`` from each reading alone; null without a model."""
     if model is None:
         return df.withColumn("prediction", F.lit(None).cast("double"))
     return _scored(single_features(df), model).drop(*FEATURES)
 
 
-def _scored(df: DataFrame, model: PipelineModel) -> DataFrame:
-    out = model.transform(df).withColumn("prediction", clamp_prediction(F.col("raw_prediction")))
-    return out.drop("features", "raw_prediction")
+def _scored(df: DataFrame, model: PipelineModel | Ensemble) -> DataFrame:
+    raw = with_prediction(df, model, "raw_prediction") if isinstance(model, Ensemble) else model.transform(df)
+    return raw.withColumn("prediction", clamp_prediction(F.col("raw_prediction"))).drop("features", "raw_prediction")

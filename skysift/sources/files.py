@@ -26,6 +26,25 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Give a folder its final name, in one step where the file system can."""
+    fs, old = _located(spark, source)
+    if not fs.rename(old, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; false if it exists already. Of several callers one succeeds."""
+    fs, target = _located(spark, path)
+    try:
+        fs.create(target, False).close()
+    except Exception:
+        if fs.exists(target):
+            return False
+        raise
+    return True
+
+
 def size(spark: SparkSession, path: str) -> int:
     """Bytes below a path; 0 if it is missing."""
     fs, target = _located(spark, path)

@@ -1,4 +1,4 @@
-"""The history table: append, range read, latest rows, warm start."""
+"""The history table: append, merge of many loads, range read."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysift.functions.cleaning import flag, or_else
+from skysift.sources import files, upkeep
 
 HISTORY_SCHEMA = (
     "city string, timestamp timestamp, aqi double, pm25 double, pm10 double, no2 double, o3 double,"
@@ -62,25 +63,59 @@ def split_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def append_history(records: DataFrame, path: str, rejects: str | None = None, load: str | None = None) -> None:
     """Append records to the table, partitioned by date and load.
 
-    A load replaces only itself, so a replayed micro-batch leaves no duplicates.
-    Range partitioning by (date, city, time) bounds the files of each date however
+    A load replaces only itself, so a replayed micro-batch leaves no duplicates; dates on which it has been merged already
+    keep what they have. Range partitioning by (date, city, time) bounds the files of each date however
     the rows spread over cities, and sorted files let city and time filters skip
     row groups. Rows lacking a required value go to ``rejects`` instead.
     """
     load = load or uuid.uuid4().hex
     good, bad = split_rows(history_rows(records).withColumn("load", F.lit(load)))
-    by = ["event_date", "city", "timestamp"]
-    _replace(good.repartitionByRange(*by).sortWithinPartitions(*by), path, ["event_date", "load"])
+    if files.exists(records.sparkSession, f"{path}/_upkeep"):
+        merged = upkeep.entries(records.sparkSession, path).filter(F.col("load") == load).select("event_date")
+        good = good.join(merged, "event_date", "left_anti").select(*good.columns)
+    _replace(_laid_out(good), path, ["event_date", "load"])
     if rejects:
         _replace(bad.drop("event_date"), rejects, ["load"])
 
 
+def _laid_out(rows: DataFrame) -> DataFrame:
+    by = ["event_date", "city", "timestamp"]
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
+def merge_loads(spark: SparkSession, path: str, least: int = 2) -> int:
+    """Merge the loads of each date that has ``least`` or more into one, sorted by (city, time); returns how many went.
+
+    Readers and appenders may run beside it: loads that arrive meanwhile are left for the next merge. Of two merges at a
+    time one fails and changes nothing. Old files stay until ``upkeep.vacuum``.
+    """
+    base, held = upkeep.version(spark, path), upkeep.entries(spark, path)
+    loads = read_history(spark, path).select(*PARTITIONS).distinct()
+    # Names of partitions, as the driver lists them for every read.
+    crowded = loads.groupBy("event_date").agg(F.collect_list("load").alias("loads")).filter(F.size("loads") >= least)
+    chosen = {r["event_date"]: r["loads"] for r in crowded.filter("event_date is not null").collect()}
+    if not chosen:
+        return 0
+    keys = [f"{date}/{load}" for date, names in chosen.items() for load in names]
+    target = f"{upkeep.MERGED}{uuid.uuid4().hex}"
+    picked = F.concat_ws("/", F.col("event_date").cast("string"), "load").isin(keys)
+    rows = read_history(spark, path).filter(picked).withColumn("load", F.lit(target))
+    _replace(_laid_out(rows), path, ["event_date", "load"])
+    pairs = [(date, load, target) for date, names in chosen.items() for load in names]
+    gone = spark.createDataFrame(pairs, "event_date date, load string, target string").withColumns(
+        {"merged_at": F.current_timestamp(), "gone": F.lit(False)}
+    )
+    upkeep.commit(spark, path, held.unionByName(gone), base)
+    return len(pairs)
+
+
 def _replace(rows: DataFrame, path: str, by: list[str]) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HISTORY_SCHEMA).parquet(path)
+    """The rows in force when the read is set up; merged loads are passed over by their partition alone."""
+    return spark.read.schema(HISTORY_SCHEMA).parquet(path).filter(upkeep.live(spark, path))
 
 
 def city_history(table: DataFrame, city: str, as_of: datetime, hours: int = 24) -> DataFrame:

@@ -17,33 +17,42 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from skysift.constants import HISTORY_ROWS, TRIGGER_SECONDS, WATERMARK_SECONDS, WINDOW_SECONDS
+from skysift.functions.cleaning import window_start
 from skysift.operators.lookups import keep_active, latest_rows, latest_state
 from skysift.operators.ordered import event_order
 from skysift.operators.rolling import with_history
 from skysift.operators.windows import watermarked, window_report
 from skysift.plans.enrich import judged_readings, judged_windows, scored_readings, windows_as_readings, with_score
-from skysift.sources import history
+from skysift.sources import files, history
 from skysift.sources.catalog import active_set
 from skysift.sources.kafka import publish_enriched
 from skysift.sources.versions import VersionedTable
+from skysift.streaming.keyed import newest_records, use_disk_state, with_keyed_history
 
 Sink = Callable[[DataFrame, int], None]
 # Adds ``prediction`` to each row, e.g. ``lambda rows: forecast.score_reading(rows, model)``.
 Score = Callable[[DataFrame], DataFrame]
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+def file_sink(path: str) -> Sink:
+    """One folder per batch, so that a replayed batch replaces itself."""
 
+    def write(records: DataFrame, batch_id: int) -> None:
+        records.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-def use_disk_state(spark: SparkSession) -> None:
-    """Keep streaming aggregation state in RocksDB instead of executor heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return write
 
 
-def file_sink(path: str) -> Sink:
-    """One folder per batch, so that a replayed batch replaces itself."""
+def once_sink(path: str) -> Sink:
+    """One folder per batch that appears as a whole and is never replaced, so that another stream may read it."""
 
     def write(records: DataFrame, batch_id: int) -> None:
-        records.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark, target = records.sparkSession, f"{path}/batch={batch_id}"
+        if files.exists(spark, target):
+            return
+        # Readers pass over names that begin like this.
+        draft = f"{path}/_writing-{batch_id}"
+        records.write.mode("overwrite").parquet(draft)
+        files.move(spark, draft, target)
 
     return write
 
@@ -148,6 +157,78 @@ def enrich_stream(
     return _enrich(rows, event_order(readings), finish, sink, work, drain)
 
 
+def enrich_keyed(
+    readings: DataFrame,
+    sink: Sink,
+    work: str,
+    extra: list[str] | None = None,
+    drain: bool = False,
+    score: Score | None = None,
+    initial: DataFrame | None = None,
+    idle_seconds: int | None = None,
+) -> StreamingQuery:
+    """As ``enrich_stream``, with the history of each city in Spark's keyed state.
+
+    ``initial`` (``keyed.carried_values`` of a history table) is where a fresh checkpoint begins. The sink is to run one action per
+    batch: a second one would work the batch out again. A stream that forgets idle cities wakes for its timers and cannot be drained.
+    """
+    if drain and idle_seconds is not None:
+        raise ValueError("a stream with timers does not end by itself")
+    recent = with_keyed_history(scored_readings(readings), event_order(readings), initial=initial, idle_seconds=idle_seconds)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        sink(judged_readings(*with_score(batch, score), extra), batch_id)
+
+    return _start(recent, step, f"{work}/checkpoint", "append", drain)
+
+
+def gate_late(
+    readings: DataFrame,
+    punctual: Sink,
+    late: Sink,
+    work: str,
+    seconds: int = WINDOW_SECONDS,
+    delay: int = WATERMARK_SECONDS,
+    drain: bool = False,
+) -> StreamingQuery:
+    """Part readings whose window is closed from those that still count.
+
+    A window closes when the watermark reaches its end: the newest event time of all earlier batches, less ``delay``, which is
+    the watermark a windowed aggregation has for the batch. Closed ones go to ``late`` with a ``reason`` (``late``, or ``untimed``
+    without a time), the watermark and the start of the window they missed; the others go on unchanged. An aggregation that reads
+    what ``punctual`` wrote drops nothing more. Each batch is judged by the marks of the batches before it, so a replay decides alike.
+    """
+    spark = readings.sparkSession
+    marks = VersionedTable(spark, f"{work}/marks", "mark timestamp")
+    staging = VersionedTable(spark, f"{work}/staged", readings.schema)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        staging.write(batch, batch_id)
+        fresh = staging.read(before=batch_id + 1)
+        before = marks.read(before=batch_id)
+        newest = before.unionByName(fresh.select(F.col("event_time").alias("mark"))).agg(F.max("mark").alias("mark"))
+        marks.write(newest, batch_id)
+        mark = before.select(F.unix_micros(F.max("mark"))).first()[0]  # one number
+        closed = F.lit(None).cast("timestamp") if mark is None else F.timestamp_micros(F.lit(mark - delay * 1_000_000))
+        start = window_start(F.col("event_time"), seconds)
+        reason = F.when(F.col("event_time").isNull(), F.lit("untimed")).when(
+            F.unix_micros(start) + seconds * 1_000_000 <= F.unix_micros(closed), F.lit("late")
+        )
+        punctual(fresh.filter(reason.isNull()), batch_id)
+        missed = fresh.withColumns({"reason": reason, "watermark": closed, "window_start": start})
+        late(missed.filter(F.col("reason").isNotNull()), batch_id)
+
+    return _start(readings, step, f"{work}/checkpoint", "append", drain)
+
+
+def late_counts(missed: DataFrame) -> DataFrame:
+    """Readings that missed their window, per window, city and reason, with the span of their delay in seconds."""
+    behind = F.unix_seconds("watermark") - F.unix_seconds("event_time")
+    return missed.groupBy("window_start", "city", "reason").agg(
+        F.count(F.lit(1)).alias("late_rows"), F.min(behind).alias("least_behind"), F.max(behind).alias("most_behind")
+    )
+
+
 def enrich_window_stream(
     readings: DataFrame,
     sink: Sink,
@@ -209,11 +290,32 @@ def follow_records(
     return _start(records, step, f"{work}/checkpoint", "append", drain)
 
 
-def keep_live(sink: Sink, path: str, catalog: DataFrame) -> Sink:
-    """Pass on only cities that are active now: the active set is read anew for each batch."""
+def hold_latest(records: DataFrame, work: str, sink: Sink | None = None, drain: bool = False) -> StreamingQuery:
+    """Keep the newest record of each city in Spark's state (see ``keyed.newest_held``); ``sink`` gets those a batch changed."""
+
+    def step(changed: DataFrame, batch_id: int) -> None:
+        if sink:
+            sink(changed.select("city", "newest.*").drop("_arrival"), batch_id)
+        else:
+            changed.write.format("noop").mode("overwrite").save()
+
+    return _start(newest_records(records), step, f"{work}/checkpoint", "update", drain)
+
+
+def keep_live(sink: Sink, path: str, catalog: DataFrame, work: str | None = None) -> Sink:
+    """Pass on only cities that are active now: the active set is read anew for each batch.
+
+    With ``work`` the set a batch saw is written there first; a replayed batch, and whoever asks later, sees the same.
+    """
 
     def write(records: DataFrame, batch_id: int) -> None:
-        active = active_set(records.sparkSession, path, catalog).withColumnRenamed("name", "city")
-        sink(keep_active(records, active), batch_id)
+        spark = records.sparkSession
+        active = active_set(spark, path, catalog)
+        if work:
+            seen = VersionedTable(spark, f"{work}/active", "name string")
+            if batch_id not in seen.versions():
+                seen.write(active.coalesce(1), batch_id)
+            active = seen.read(before=batch_id + 1)
+        sink(keep_active(records, active.withColumnRenamed("name", "city")), batch_id)
 
     return write
