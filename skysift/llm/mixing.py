@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skysift.llm.common import let
 from skysift.session import staged
 
 # Larger means are the sum of equal parts below this; the table of one part then ends below 2 ** -52.
@@ -70,18 +71,23 @@ def mixed(docs: DataFrame, rates: DataFrame, seed: int = 0, key: str = "doc_id",
     """Copies of the documents in a global random order.
 
     Returns struct ``row`` (the document's own columns), ``copy`` (0, 1, …) and ``place`` (the random
-    order; ties by key). Repeated rows of one id are repeated alike. A null id counts as the empty id. A source
+    order; ties by key). Repeated rows of one id are repeated alike. A row without an id draws by a hash of its columns. A source
     missing from ``rates`` has rate zero. Texts, null or not, are passed on as they are.
     """
     # Written first: its true size is known, and Spark broadcasts it only if that is small.
     steps = staged(_tables(rates), "rates")
-    held = docs.select(F.struct("*").alias("row"), F.col(key).alias("id"), F.col(source).cast("string").alias("_s"))
+    plain = [f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    own = F.concat(F.lit("-"), F.xxhash64(*plain).cast("string"))
+    held = docs.select(
+        F.struct("*").alias("row"), F.coalesce(F.col(key).cast("string"), own).alias("id"), F.col(source).cast("string").alias("_s")
+    )
     drawn = held.join(steps, F.col("_s").eqNullSafe(F.col("_source")))
     count = F.aggregate(
         F.sequence(F.lit(0), F.col("parts") - 1),
         F.lit(0),
-        lambda total, part: total + F.aggregate(
-            F.col("steps"), F.lit(0), lambda n, s: n + (unit_hash(F.lit(seed), F.col("id"), part) >= s).cast("int")
+        lambda total, part: total + let(
+            unit_hash(F.lit(seed), F.col("id"), part),
+            lambda u: F.aggregate(F.col("steps"), F.lit(0), lambda n, s: n + (u >= s).cast("int")),
         ),
     )
     counted = drawn.select("row", "id", count.alias("n")).filter("n > 0")
@@ -89,3 +95,13 @@ def mixed(docs: DataFrame, rates: DataFrame, seed: int = 0, key: str = "doc_id",
     place = unit_hash(F.lit(seed), F.lit("place"), F.col("id"), F.col("copy"))
     dealt = copies.withColumn("place", place).repartition("place").sortWithinPartitions("place", "id", "copy")
     return dealt.select("row", "copy", "place")
+
+
+def flat(copies: DataFrame) -> DataFrame:
+    """The documents' columns beside ``copy`` and ``place``; where a document has a column of that name, the added one ends in ``_``."""
+    taken = {name.lower() for name in copies.schema["row"].dataType.names}
+
+    def free(name: str) -> str:
+        return free(f"{name}_") if name in taken else name
+
+    return copies.select("row.*", *[F.col(name).alias(free(name)) for name in ("copy", "place")])

@@ -44,8 +44,7 @@ def op4_nearest_vectors(spark, sf):
 
 def op5_source_mixing(spark, sf):
     docs = table(spark, sf, "documents")
-    copies = mixing.mixed(docs, mixing.repetition_rates(docs))
-    return copies.select("row.*", "copy", "place")
+    return mixing.flat(mixing.mixed(docs, mixing.repetition_rates(docs)))
 
 
 def op6_toxicity(spark, sf):
