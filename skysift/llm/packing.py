@@ -1,7 +1,7 @@
 """Best-fit packing of documents into bins under conflicts.
 
 A bin holds at most one document of a source and one of a group of duplicates. Items are dealt
-over shards of about ``SHARD_ITEMS`` by a hash of id, source and words; a shard is packed in one task, largest item first.
+over shards of about ``SHARD_ITEMS`` by a hash of a number of their own; a shard is packed in one task, largest item first.
 Bins are kept in order of what is left in them; an item goes to the first bin from its own size upwards whose
 source and duplicate bitmaps admit it: the tightest compatible one. Shards bound the
 memory and work of a task at any size of the table; every item is placed.
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysift.llm.common import let, words
+from skysift.session import staged
 
 CAPACITY = 2_048
 SHARD_ITEMS = 20_000
@@ -117,9 +118,10 @@ def packed(
             words(F.col(text).cast("string")),
             lambda w: F.struct(F.size(w).cast("long").alias("n"), (text_cluster(w) if group is None else group).alias("c")),
         ).alias("m"),
-    ).select("row", "source", F.col("m.n").alias("total"), F.col("m.c").alias("cluster"))
-    # The words spread rows that share one id, or have none.
-    shard = F.pmod(F.xxhash64(F.lit("shard"), "row", "source", "total", "cluster"), F.lit(shards)).cast("long")
+    ).select("row", "source", F.col("m.n").alias("total"), F.col("m.c").alias("cluster"), F.monotonically_increasing_id().alias("own"))
+    # Sizes and hashes only, written once: rows without an id, and equal ones, keep a number to be dealt by.
+    sized = staged(sized, "sizes")
+    shard = F.pmod(F.xxhash64(F.lit("shard"), "own"), F.lit(shards)).cast("long")
     pieces = sized.withColumn("shard", shard).withColumn(
         "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("total") - 1, F.lit(0)).cast("long"), F.lit(capacity).cast("long")))
     ).select(
