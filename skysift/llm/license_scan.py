@@ -7,8 +7,10 @@ counts its edits and reports the span.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -56,8 +58,10 @@ class _Phrase:
             while at >= 0:
                 windows.append((at - offset - slack, at - offset + len(self.words) + slack))
                 at = body.find(seed, at + 1)
-        busy = [(a, a + len(self.words)) for a in taken]
-        out: list[tuple[int, int, int]] = []
+        exact, out = _Taken(), []
+        fuzzy = _Taken()
+        for a in taken:
+            exact.add(a, a + len(self.words))
         for a, b in sorted(set(windows)):
             # Whole words only, so that no character is cut.
             a = body.rfind(b" ", 0, max(1, a + 1)) if a > 0 else 0
@@ -66,12 +70,29 @@ class _Phrase:
             for hit in self.fuzzy.finditer(window):
                 start = a + len(window[: hit.start()].encode())
                 end = start + len(hit.group().encode())
-                if all(end <= x or y <= start for x, y in busy):
-                    busy.append((start, end))
+                if exact.clear(start, end) and fuzzy.clear(start, end):
+                    fuzzy.add(start, end)
                     out.append((start, end, sum(hit.fuzzy_counts)))
         return out
 
 
+class _Taken:
+    """Spans whose starts and ends ascend alike; new ones come nearly in order, so that each costs a search only."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> None:
+        at = bisect_left(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+
+    def clear(self, start: int, end: int) -> bool:
+        last = bisect_left(self.starts, end) - 1
+        return last < 0 or self.ends[last] <= start
+
+
 def _scan(phrases: tuple[tuple[str, str], ...]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [_Phrase(*p) for p in phrases]
@@ -85,16 +106,18 @@ def _scan(phrases: tuple[tuple[str, str], ...]):
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text")):
                 words = (text.as_buffer().to_pybytes() if text.is_valid else b"").translate(_SIGNS).split()
                 body = b" " + b" ".join(words) + b" "
+                blanks = np.flatnonzero(np.frombuffer(body, np.uint8) == 32)
                 starts, spans, base, best = [], [], set(), 0.0
                 for phrase in known:
                     places = phrase.places(body)
-                    for at in places:
-                        starts.append(body.count(b" ", 0, at) - 1)
-                        spans.append((phrase.label, starts[-1], phrase.words.count(" ") + 1, 0))
+                    for first in (np.searchsorted(blanks, places) - 1).tolist():
+                        starts.append(first)
+                        spans.append((phrase.label, first, phrase.words.count(" ") + 1, 0))
                         base.add(phrase.label)
                         best = 1.0
                     for a, b, edits in phrase.near(body, places):
-                        spans.append((phrase.label, body.count(b" ", 0, a) - 1, body.count(b" ", a, b) + 1, edits))
+                        first, last = np.searchsorted(blanks, [a, b]).tolist()
+                        spans.append((phrase.label, first - 1, last - first + 1, edits))
                         best = max(best, 1 - edits / len(phrase.words))
                 rows.append({
                     "id": key, "n_words": len(words), "n_base": len(starts),
@@ -111,7 +134,8 @@ def notices(docs: DataFrame, phrases=PHRASES, key: str = "doc_id", text: str = "
     """Per row: key, ``n_words``, ``n_base`` (exact places), ``first_word``, ``last_word``, ``base_labels``, ``labels``
     (exact and fuzzy), ``score`` (1 less the share of edits in the best place; 0 without one) and ``spans``.
 
-    Words are lower-cased runs of letters and digits. A null or empty text has no words and no labels.
+    Words are lower-cased runs of letters and digits. A null or empty text has no words and no labels. A very long text takes time
+    in proportion to its length and its hits.
     Rows are not merged; a null key stays null; other columns are not read.
     """
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").cast("binary").alias("text"))
