@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from skysift.session import staged
 
 
-def _state(df: DataFrame) -> tuple[int, int]:
-    row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-    return row[0], row[1] or 0
+def _state(df: DataFrame) -> tuple:
+    """Count and exact sums of two hashes: equal for equal tables, for others but by a chance beyond 2 ** -64."""
+    sums = [F.sum(F.xxhash64(*key).cast("decimal(38,0)")) for key in (("u", "v"), ("v", "u"))]
+    return tuple(df.agg(F.count(F.lit(1)), *sums).first())
 
 
 def components(edges: DataFrame) -> DataFrame:
