@@ -34,6 +34,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SIX_HOURS = 21_600
 AS_OF = datetime(2024, 1, 20)
 HISTORY_HOURS = 72
+SILENT_CITY, SILENT_FROM = "NATION_7", "2024-01-06 00:00:00"
 TREES = 200
 COMPILED_TREES = 20
 BATCHES = 5
@@ -142,6 +143,16 @@ def breakpoint_range_join(spark, sf):
     return df.select("event_id", "aqi")
 
 
+def overlapping_ranges(spark, sf):
+    """Readings against as many overlapping breakpoint rows as half the events; the lowest matching row wins."""
+    readings = tables.readings(spark, sf)
+    rows = readings.filter("event_id % 2 = 0 and no2 > 0").select(
+        (F.col("pm25") - F.col("no2") / 50.0).alias("lo_pm"), (F.col("pm25") + F.col("no2") / 70.0).alias("hi_pm"),
+        F.col("no2").alias("lo_aqi"), (F.col("no2") + 50.0).alias("hi_aqi"),
+    )
+    return lookups.index_from_ranges(readings, rows, F.col("pm10") / 1.5).select("event_id", "city", "aqi")
+
+
 # --- latest rows, catalog, history -----------------------------------------------------
 
 
@@ -168,6 +179,14 @@ def city_history(spark, sf):
     return _plain(history.city_history(_history_table(spark, sf), "NATION_3", AS_OF, HISTORY_HOURS))
 
 
+def latest_from_history(spark, sf):
+    """Newest rows of all cities from the history table, read from its newest dates on; one city has been silent for long."""
+    path = fresh_folder(spark, "history")
+    silent = (F.col("city") == SILENT_CITY) & (F.col("timestamp") >= F.lit(SILENT_FROM).cast("timestamp"))
+    history.append_history(enrich.enrich_readings(tables.readings(spark, sf)).filter(~silent), path)
+    return _plain(history.latest_records(spark, path, tables.cities(spark, sf)).drop("load"))
+
+
 def history_rejects(spark, sf):
     """Rows of the history table that lack a required value: here, times that do not parse."""
     text = F.when(F.col("is_real"), F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS")).otherwise(F.lit("n/a"))
@@ -651,10 +670,12 @@ _QUERIES: dict[str, Query] = {
     "window_latest_6h": _report(SIX_HOURS, latest=True),
     "sql_functions": sql_functions,
     "breakpoint_range_join": breakpoint_range_join,
+    "overlapping_ranges": overlapping_ranges,
     "latest_per_city": latest_per_city,
     "newest_time": newest_time,
     "history_table": history_table,
     "city_history": city_history,
+    "latest_from_history": latest_from_history,
     "history_rejects": history_rejects,
     "reading_count": reading_count,
     "current_snapshot": current_snapshot,

@@ -320,6 +320,12 @@ def build() -> dict[str, str]:
     # Loads as the registered streams make them: five spans of equal length.
     loads = """spans5 AS (SELECT min(epoch_us(ts) // 1000000) AS first, (max(epoch_us(ts) // 1000000) - min(epoch_us(ts) // 1000000)) // 5 + 1 AS step FROM events),
  loads AS (SELECT event_id, (epoch_us(ts) // 1000000 - first) // step AS load FROM events, spans5)"""
+    q["overlapping_ranges"] = f"""WITH {READINGS},
+ scale AS (SELECT DISTINCT pm25 - no2 / 50::DOUBLE AS lo, pm25 + no2 / 70::DOUBLE AS hi, no2 AS a, no2 + 50::DOUBLE AS b FROM readings WHERE event_id % 2 = 0 AND no2 > 0),
+ hits AS (SELECT event_id, min(row(lo, hi, a, b)) AS h FROM readings JOIN scale ON pm10 / 1.5::DOUBLE >= lo AND pm10 / 1.5::DOUBLE <= hi GROUP BY event_id)
+ SELECT event_id, city, coalesce(h[3] + (pm10 / 1.5::DOUBLE - h[1]) / (h[2] - h[1]) * (h[4] - h[3]), 500::DOUBLE) AS aqi FROM readings LEFT JOIN hits USING (event_id)"""
+    q["latest_from_history"] = f"""WITH {RECORDS}, heard AS (SELECT * FROM records WHERE NOT (city = 'NATION_7' AND timestamp >= TIMESTAMP '2024-01-06'))
+ SELECT {_HISTORY_COLUMNS}, CAST(timestamp AS DATE) AS event_date FROM heard QUALIFY rank() OVER (PARTITION BY city ORDER BY timestamp DESC) = 1"""
     q["stream_keyed_enrichment"] = q["reading_enrichment"]
     q["stream_warm_start"] = f"WITH {RECORDS}, {loads} SELECT records.* FROM records JOIN loads USING (event_id) WHERE load >= 2"
     q["stream_live_set"] = f"""WITH {READINGS}, {loads} SELECT load, event_id, city FROM readings JOIN loads USING (event_id)

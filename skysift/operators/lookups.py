@@ -106,8 +106,68 @@ def category_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CATEGORIES, "max int, label string, css string, health_advisory string")
 
 
+def _last_before(table: DataFrame, value: Column, name: str, function) -> DataFrame:
+    """One row per segment with ``function`` of ``value`` over all earlier segments; a row per shuffle partition, no more."""
+    earlier = Window.orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    return table.select("_segment", function(value).over(earlier).alias(name))
+
+
+def first_matches(ranges: DataFrame, order: list[str], low: str, high: str) -> DataFrame:
+    """Of overlapping ranges (both ends belong to them) those that are the first, in ``order``, to hold some value.
+
+    ``order`` begins with ``low``. A range is one of them if it ends after all ranges before it; the ends of those kept
+    ascend, and the range for a value is the first kept one that ends at or after it, if that begins early enough.
+    """
+    known = ranges.filter(F.col(low).isNotNull() & F.col(high).isNotNull())
+    dealt = staged(known.repartitionByRange(*order).withColumn("_segment", F.spark_partition_id()), "ranges")
+    tops = dealt.groupBy("_segment").agg(F.max(high).alias("_top"))
+    before = _last_before(tops, F.col("_top"), "_before", F.max)
+    inside = Window.partitionBy("_segment").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.greatest(F.max(high).over(inside), F.col("_before"))
+    kept = dealt.join(before, "_segment").withColumn("_reached", reached)
+    return kept.filter(F.col("_reached").isNull() | (F.col(high) > F.col("_reached"))).drop("_segment", "_before", "_reached")
+
+
+def with_first_range(df: DataFrame, value: Column, ranges: DataFrame, order: list[str], low: str, high: str, name: str) -> DataFrame:
+    """Add, as a struct, the first range in ``order`` that holds the value of a row; null where none does.
+
+    Values and ends of ranges are dealt once into segments of their common order, ties by a number of their own, so that neither a
+    frequent value nor a dense stretch of ranges is one task. A segment's last values look to the first end of a later one.
+    """
+    first = first_matches(ranges.select(*order), order, low, high)
+    range_type = f"struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in first.schema.fields)}>"
+    row = F.struct(*df.columns)
+    points = df.select(value.alias("_at"), row.alias("_row"), F.lit(None).cast(range_type).alias("_range"), F.monotonically_increasing_id().alias("_own"))
+    # Of equal places values come before ends: a range holds its end.
+    points = points.withColumn("_kind", F.lit(0))
+    no_row = F.lit(None).cast(points.schema["_row"].dataType)
+    ends = first.select(F.col(high).alias("_at"), no_row.alias("_row"), F.struct(*first.columns).alias("_range"), F.lit(0).cast("long").alias("_own"))
+    by = ["_at", "_kind", "_own"]
+    both = points.unionByName(ends.withColumn("_kind", F.lit(1))).repartitionByRange(*by)
+    dealt = staged(both.withColumn("_segment", -F.spark_partition_id()), "points")
+    heads = dealt.groupBy("_segment").agg(F.min_by("_range", F.when(F.col("_kind") == 1, F.col("_at"))).alias("_head"))
+    later = _last_before(heads, F.col("_head"), "_later", lambda c: F.last(c, ignorenulls=True))
+    back = Window.partitionBy("_segment").orderBy(*[F.col(c).desc() for c in by]).rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt.join(later, "_segment").withColumn("_met", F.coalesce(F.last("_range", ignorenulls=True).over(back), F.col("_later")))
+    holds = F.col("_at") >= F.col(f"_met.{low}")
+    return met.filter("_kind = 0").select("_row.*", F.when(holds, F.col("_met")).alias(name))
+
+
+def index_from_ranges(df: DataFrame, breakpoints: DataFrame, pm25: Column | None = None) -> DataFrame:
+    """As ``index_from_table``, for a breakpoint table of any size: values and breakpoints are merged in order."""
+    x = F.col("pm25") if pm25 is None else pm25
+    order = ["lo_pm", "hi_pm", "lo_aqi", "hi_aqi"]
+    found = with_first_range(df.withColumn("_x", x.cast("double")), F.col("_x"), breakpoints, order, "lo_pm", "hi_pm", "_hit")
+    return found.withColumn("aqi", _range_score(F.col("_x"), F.col("_hit"))).drop("_x", "_hit")
+
+
+def _range_score(x: Column, hit: Column) -> Column:
+    score = hit["lo_aqi"] + (x - hit["lo_pm"]) / (hit["hi_pm"] - hit["lo_pm"]) * (hit["hi_aqi"] - hit["lo_aqi"])
+    return F.when(x.isNull(), F.lit(0.0)).otherwise(F.coalesce(score, F.lit(500.0)))
+
+
 def index_from_table(df: DataFrame, breakpoints: DataFrame, pm25: Column | None = None) -> DataFrame:
-    """Score against a user's breakpoint table; the lowest matching row wins.
+    """Score against a user's small breakpoint table; the lowest matching row wins.
 
     The table becomes one sorted array, put into each row as a scalar subquery, so
     the readings are neither multiplied nor regrouped.
@@ -116,6 +176,4 @@ def index_from_table(df: DataFrame, breakpoints: DataFrame, pm25: Column | None
     row = F.struct("lo_pm", "hi_pm", "lo_aqi", "hi_aqi")
     scale = breakpoints.agg(F.sort_array(F.collect_list(row))).scalar()
     hit = F.get(F.filter("_scale", lambda b: (x >= b["lo_pm"]) & (x <= b["hi_pm"])), F.lit(0))
-    score = hit["lo_aqi"] + (x - hit["lo_pm"]) / (hit["hi_pm"] - hit["lo_pm"]) * (hit["hi_aqi"] - hit["lo_aqi"])
-    aqi = F.when(x.isNull(), F.lit(0.0)).otherwise(F.coalesce(score, F.lit(500.0)))
-    return df.withColumn("_scale", scale).withColumn("aqi", aqi).drop("_scale")
+    return df.withColumn("_scale", scale).withColumn("aqi", _range_score(x, hit)).drop("_scale")

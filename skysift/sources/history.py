@@ -1,4 +1,4 @@
-"""The history table: append, merge of many loads, range read."""
+"""The history table: append, merge of many loads, range read, newest rows."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysift.functions.cleaning import flag, or_else
+from skysift.operators.lookups import latest_rows
+from skysift.session import staged
 from skysift.sources import files, upkeep
 
 HISTORY_SCHEMA = (
@@ -118,6 +120,29 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HISTORY_SCHEMA).parquet(path).filter(upkeep.live(spark, path))
 
 
+def latest_records(spark: SparkSession, path: str, cities: DataFrame) -> DataFrame:
+    """All rows holding the newest time of each of the cities (``city``), found from the newest dates on.
+
+    Dates are read in steps that double, each for the cities not found so far, until none is left: recent cities cost the
+    newest dates only, one that has been silent, or has no row, the older ones once. Dates are the table's partitions.
+    """
+    names = [name[len("event_date=") :] for name in files.children(spark, path) if name.startswith("event_date=2")]
+    dates, table = sorted(names, reverse=True), read_history(spark, path)
+    wanted, found, at, step = staged(cities.select("city").distinct(), "cities"), [], 0, 1
+    while at < len(dates):
+        newest, oldest = dates[at], dates[min(at + step, len(dates)) - 1]
+        span = table.filter(F.col("event_date").between(F.lit(oldest).cast("date"), F.lit(newest).cast("date")))
+        found.append(staged(latest_rows(span.join(wanted, "city", "left_semi"), "timestamp"), "latest"))
+        wanted = staged(wanted.join(found[-1], "city", "left_anti"), "cities")
+        if wanted.isEmpty():
+            break
+        at, step = at + step, step * 2
+    out = table.limit(0)
+    for part in found:
+        out = out.unionByName(part)
+    return out
+
+
 def city_history(table: DataFrame, city: str, as_of: datetime, hours: int = 24) -> DataFrame:
     """Rows of a city not older than ``hours`` before ``as_of``, oldest first.
 

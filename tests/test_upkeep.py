@@ -98,3 +98,19 @@ def test_merged_loads_are_passed_over_by_partition(spark, table):
     plan = history.read_history(spark, table)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "load" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "Join" not in plan
+
+
+def test_newest_rows_come_from_the_newest_dates(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "history")
+    rows = [("a", START + timedelta(days=i), float(i)) for i in range(40)]
+    rows += [("b", START + timedelta(days=i), float(i)) for i in range(20, 38)] + [("silent", START, -1.0), ("silent", START, -2.0)]
+    history.append_history(spark.createDataFrame(rows, "city string, timestamp timestamp, aqi double"), path)
+    cities = lambda *names: spark.createDataFrame([(n,) for n in names], "city string")
+    read = []
+    plain = history.latest_rows
+    monkeypatch.setattr(history, "latest_rows", lambda df, time: read.append(len(df.select("event_date").distinct().collect())) or plain(df, time))
+    found = lambda *names: sorted((r.city, r.aqi) for r in history.latest_records(spark, path, cities(*names)).collect())
+    assert found("a") == [("a", 39.0)] and read == [1]
+    assert found("a", "b") == [("a", 39.0), ("b", 37.0)] and read[1:] == [1, 1]
+    assert found("silent", "a", "nowhere") == [("a", 39.0), ("silent", -2.0), ("silent", -1.0)]
+    assert found() == []
