@@ -40,17 +40,27 @@ _LETTER = -2.5
 _SWAP, _ANY, _RARE, _HALF, _DROP = (math.log(p) for p in (0.3, 0.02, 0.05, 0.5, 0.005))
 # What a sign costs that stays the sign it is, beside that of an edge of a word.
 _SAME = math.log(0.05)
+# What the end of a word costs at a gap between single letters.
+_PART = math.log(0.25)
 _EDGE, _OTHER, _SIZE = 26, 27, 28
+_CODES = {"abcdefghijklmnopqrstuvwxyz "[i]: i for i in range(27)}
 _LETTERS = rf"[a-z{_SIGNS}*]"
 _TOKEN = re.compile(rf"{_LETTERS}+(?:[._-]{_LETTERS}+)*")
 # A look-alike or filler beside a letter, a doubled letter, an inner separator, or signs alone that are no number.
 _SUSPECT = re.compile(
     rf"[a-z][{_SIGNS}*]|[{_SIGNS}*][a-z]|([a-z])\1|{_LETTERS}[._-]{_LETTERS}|@[{_SIGNS}]{{2}}|[0-9]*[@$][0-9]*[@$]"
 )
-_SPACED = re.compile(rf"(?<![^\W_])(?:[a-z{_SIGNS}][ ._*-]){{2,}}[a-z{_SIGNS}](?![^\W_])")
+# What parts letters or words, and letters so parted, by blanks and line breaks as well.
+_GAP = re.compile(r"[\s._-]+")
+_WIDER = re.compile(r"[^\s._-]{2}")
+_SPACED = re.compile(rf"(?<![^\W_])(?:[a-z{_SIGNS}][ \t\r\n._*-]{{1,3}}){{2,}}[a-z{_SIGNS}](?![^\W_])")
 # Signs that are plain punctuation at either end of a token.
 _ENDS = "!|$+(<*#"
+# More stars than these inside a token are no letters.
+_STARS = 7
 _CACHED = 500_000
+# Longer tokens are read as well, but not remembered.
+_LONG = 100
 
 
 def _symbols(data: np.ndarray) -> np.ndarray:
@@ -84,7 +94,7 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 class Decoder:
-    """Viterbi over a token's lattice; states are the last two letters written."""
+    """Viterbi over a token's lattice; states are the last two letters written, an edge between words counts as one."""
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
@@ -92,28 +102,38 @@ class Decoder:
         self.known: dict[str, list[str]] = {}
 
     @staticmethod
-    def _options(token: str) -> list[list[tuple[str, float]]]:
-        """For each sign what it may stand for, with log costs; the empty text leaves it out."""
-        out, head, tail = [], len(token) - len(token.lstrip(_ENDS)), len(token.rstrip(_ENDS))
-        for i, c in enumerate(token):
-            run = i - len(token[:i].rstrip(c))
-            again = run or token[i + 1 : i + 2] == c
+    def _options(token: str, parted: bool) -> Iterator[list[tuple[str, float]]]:
+        """For each sign what it may stand for, with log costs; the empty text leaves it out, a blank ends a word.
+
+        A gap is left out; ``parted``, it may end a word as well, and so may a sign that is a sign.
+        """
+        head, tail = len(token) - len(token.lstrip(_ENDS)), len(token.rstrip(_ENDS))
+        end = 0.0 if _WIDER.search(token) else _PART
+        i = 0
+        while i < len(token):
+            c, size = token[i], 1
             if c in _LOOKS:
+                same = [(" ", _SAME)] if parted else []
                 left_out = _SAME if i < head or i >= tail else _DROP + _LETTER
-                out.append([(x, _SWAP) for x in _LOOKS[c]] + [("", left_out)])
-            elif c == "*" and again and (i < head or i >= tail):
-                out.append([("", 0.0)])  # several at an end are markup, as a plain text has it
-            elif c == "*":
-                out.append([(chr(x), _ANY) for x in range(97, 123)] + [("", _HALF + _LETTER)])
-            elif not c.isalpha():
-                out.append([("", 0.0)])
-            elif again and (run > 1 or token[i : i + 3] == 3 * c or token[max(0, i - 1) : i + 2] == 3 * c):
-                out.append([(c, 0.0)] if not run else [("", 0.0), (c, _RARE)])
-            elif run:
-                out.append([("", _HALF + _LETTER), (c, _HALF)])
+                yield [(x, _SWAP) for x in _LOOKS[c]] + [("", left_out)] + same
+            elif c == "*" or c.isalpha():
+                while token[i + size : i + size + 1] == c:
+                    size += 1
+                if c.isalpha():
+                    yield [(c, 0.0)]
+                    more = [("", _HALF + _LETTER), (c, _HALF)] if size == 2 else [("", 0.0), (c, _RARE)]
+                    yield from [more] * (size - 1)
+                elif size > 1 and (i < head or i >= tail):
+                    pass  # several at an end are markup, as a plain text has it
+                elif size > _STARS:
+                    yield [("", 0.0), (" ", 0.0)] if parted else [("", 0.0)]
+                else:
+                    yield from [[(chr(x), _ANY) for x in range(97, 123)] + [("", _HALF + _LETTER)]] * size
             else:
-                out.append([(c, 0.0)])
-        return out
+                size = _GAP.match(token, i).end() - i
+                if parted:
+                    yield [("", 0.0), (" ", end)]
+            i += size
 
     def _unchanged(self, token: str) -> float:
         """What the token costs as it stands: its signs are edges, which part words."""
@@ -122,38 +142,68 @@ class Decoder:
             c = ord(sign) - 97 if "a" <= sign <= "z" else _EDGE
             if c != _EDGE or b != _EDGE:
                 score, a, b = score + self.model[a][b][c], b, c
-            if c == _EDGE and i < len(token) and sign != " ":
+            if c == _EDGE and i < len(token) and not sign.isspace():
                 score += _SAME
         return score
 
-    def _restored(self, token: str) -> list[str]:
+    def _restored(self, token: str, parted: bool = False) -> list[str]:
         """The best readings of a token, of those that end in different letters; the first is the best.
 
-        None that is far less likely than the token as it stands: its own words count anyway.
+        None that is far less likely than the token as it stands: its own words count anyway. ``parted`` ones hold that
+        choice in themselves, sign by sign. A path is a chain of its letters, so time grows with the token's length only.
         """
         model = self.model
-        beam: dict[tuple[int, int], tuple[float, str]] = {(_EDGE, _EDGE): (0.0, "")}
-        for options in self._options(token):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in beam.items():
+        beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(_EDGE, _EDGE): (0.0, None)}
+        for options in self._options(token, parted):
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in beam.items():
+                likely = model[a][b]
                 for letter, cost in options:
-                    if letter:
-                        c = ord(letter) - 97 if "a" <= letter <= "z" else _OTHER
-                        state, reached = (b, c), (score + cost + model[a][b][c], text + letter)
+                    if not letter or letter == " " and b == _EDGE:
+                        state, reached, way = (a, b), score + cost, path
                     else:
-                        state, reached = (a, b), (score + cost, text)
-                    if state not in after or reached[0] > after[state][0]:
-                        after[state] = reached
+                        c = _CODES.get(letter, _OTHER)
+                        state, reached, way = (b, c), score + cost + likely[c], (path, letter)
+                    if state not in after or reached > after[state][0]:
+                        after[state] = (reached, way)
             beam = after
-        ends = sorted(((score + model[a][b][_EDGE], text) for (a, b), (score, text) in beam.items() if text), reverse=True)
+        ends = sorted(
+            ((score + (0.0 if b == _EDGE else model[a][b][_EDGE]), a, b) for (a, b), (score, path) in beam.items() if path), reverse=True
+        )
         if not ends:
             return []
-        least = max(ends[0][0], self._unchanged(token)) - 3
-        return [text for score, text in ends[:3] if score > least]
+        least = (ends[0][0] if parted else max(ends[0][0], self._unchanged(token))) - 3
+        return [self._written(beam[a, b][1]) for score, a, b in ends[:3] if score > least]
+
+    @staticmethod
+    def _written(path: tuple | None) -> str:
+        letters = []
+        while path:
+            path, letter = path
+            letters.append(letter)
+        return "".join(reversed(letters))
 
     def _readings(self, token: str) -> list[str]:
-        # Runs beyond a long word's length are noise, but are still read in pieces.
-        return [word for i in range(0, len(token), 40) for word in self.restored(token[i : i + 40])]
+        """Words of the token read as one, of its parts, of each two neighbours, and with each gap either left out or the end of a word."""
+        restored = self.restored if len(token) <= _LONG else self._restored
+        found = restored(token)
+        parts = _GAP.split(token)
+        gaps = _GAP.findall(token) if len(parts) > 2 else []
+        if gaps and min(map(len, gaps)) < max(map(len, gaps)):
+            # Words of letters parted by narrow gaps.
+            parts = re.split(rf"[\s._-]{{{min(map(len, gaps)) + 1},}}", token)
+        if len(gaps) > 1:
+            found = found + restored(token, True)
+            if _WIDER.search(token):
+                # A word cut once among others.
+                for pair in zip(parts, parts[1:]):
+                    joined = "-".join(pair)
+                    found = found + (self.restored if len(joined) <= _LONG else self._restored)(joined)
+        if len(parts) > 1:
+            for part in parts:
+                if len(part) > 2 and _SUSPECT.search(part):
+                    found = found + self._readings(part)
+        return [word for text in found for word in text.split()]
 
     def words(self, text: str) -> list[str]:
         """Restored forms of all suspect tokens of a lower-cased text."""
@@ -164,7 +214,8 @@ class Decoder:
                 found = self._readings(token) if len(token) > 2 and _SUSPECT.search(token) else []
                 if len(self.known) >= _CACHED:
                     self.known.clear()
-                self.known[token] = found
+                if len(token) <= _LONG:
+                    self.known[token] = found
             out += found
         for hit in _SPACED.finditer(text):
             out += self._readings(hit.group())
