@@ -6,6 +6,8 @@ proportion to its length and no deep recursion, while they find what the plain p
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ from skysift.llm.common import let
 KINDS = ["email", "ip", "card", "phone", "iban"]
 BASE_KINDS = KINDS[:4]
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string,score:double>>"
+#: What is looked at around a span, and between spans, is cut from pieces of a text of this length: time in proportion to it.
+PIECE = 512
+#: Lists are built in blocks of so many, for each appending copies what it appends to.
+BLOCK = 256
 NEAR = 40
 LEAST_SCORE = 0.5
 
@@ -100,7 +106,36 @@ def _confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _account_codes(text: Column, begins: Column) -> Column:
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _between(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points from ``start`` to ``end`` (exclusive) of the text so cut; no more than its pieces are walked through."""
+    first = F.floor(start / PIECE).cast("int")
+    some = F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1)
+    return F.substr(F.array_join(some, ""), (start - first * PIECE + 1).cast("int"), (end - start).cast("int"))
+
+
+def _scanned(values: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """One ``kind`` for each value, left to right: ``step`` has a place carried along, 0 at first, and returns its next value as well."""
+
+    def each(state: Column, value: Column) -> Column:
+        at, out = step(state["at"], value)
+        return F.struct(at.cast("bigint").alias("at"), F.concat(state["out"], F.array(out)).alias("out"))
+
+    def block(state: Column, some: Column) -> Column:
+        none = F.array().cast(f"array<{kind}>")
+        done = F.aggregate(some, F.struct(state["at"].alias("at"), none.alias("out")), each)
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(state["out"], F.array(d["out"])).alias("out")))
+
+    last = F.greatest(F.floor((F.size(values) - 1) / BLOCK), F.lit(0)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(blocks, start, block, lambda state: F.flatten(state["out"]))
+
+
+def _account_codes(pieces: Column, begins: Column) -> Column:
     """Of the places where a code may begin those that hold one, leftmost first and not inside one before."""
 
     def reached(s: Column) -> Column:
@@ -108,20 +143,15 @@ def _account_codes(text: Column, begins: Column) -> Column:
             codes = [F.regexp_extract(tail, pattern, 0) for pattern in _CODES]
             return F.coalesce(*[let(c, lambda v: F.when(_confirmed("iban", v), v)) for c in codes], F.lit(""))
 
-        value = let(F.substr(text, s["start"] + 1, F.lit(_REACH)), tried)
+        value = let(_between(pieces, s["start"], s["start"] + _REACH), tried)
         return let(value, lambda v: s.withField("value", v).withField("end", s["start"] + F.length(v)))
 
-    codes = F.filter(F.transform(begins, reached), lambda s: s["value"] != "")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("kept"))
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        return F.struct(
-            F.when(fresh, s["end"]).otherwise(state["at"]).alias("at"),
-            F.when(fresh, F.concat(state["kept"], F.array(s))).otherwise(state["kept"]).alias("kept"),
-        )
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        fresh = s["start"] >= at
+        return F.when(fresh, s["end"]).otherwise(at), F.when(fresh, s)
 
-    return F.aggregate(codes, start, step, lambda state: state["kept"])
+    codes = F.filter(F.transform(begins, reached), lambda s: s["value"] != "")
+    return F.filter(let(codes, lambda c: _scanned(c, SPAN[len("array<") : -1], step)), lambda s: s.isNotNull())
 
 
 def _mentions(around: Column, names: tuple[str, ...]) -> Column:
@@ -134,55 +164,51 @@ def _spans(kind: str, text: Column) -> Column:
 
     def placed(parts: Column) -> Column:
         hits, gaps = parts["hits"], parts["gaps"]
-        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-
-        def step(state: Column, i: Column) -> Column:
-            begin = state["at"] + F.length(F.get(gaps, i))
-            after = begin + F.length(F.get(hits, i))
-            return F.struct(after.alias("at"), F.concat(state["starts"], F.array(begin)).alias("starts"))
-
-        order = F.sequence(F.lit(0), F.size(hits) - 1)
-        starts = F.aggregate(order, start, step, lambda state: state["starts"])
-        return F.zip_with(
-            hits,
-            starts,
-            lambda value, at: F.struct(
-                at.alias("start"),
+        steps = F.transform(hits, lambda value, i: F.length(F.get(gaps, i)) + F.length(value))
+        ends = let(steps, lambda each: _scanned(each, "bigint", lambda at, n: (at + n, at + n)))
+
+        def span(value: Column, end: Column) -> Column:
+            return F.struct(
+                (end - F.length(value)).alias("start"),
                 F.lit(KINDS.index(kind)).alias("rank"),
-                (at + F.length(value)).cast("bigint").alias("end"),
+                end.alias("end"),
                 F.lit(kind).alias("kind"),
                 value.alias("value"),
                 F.lit(0.0).alias("score"),
-            ),
-        )
+            )
+
+        return F.zip_with(hits, ends, span)
 
-    def scored(span: Column) -> Column:
-        first = F.greatest(span["start"] - NEAR, F.lit(0))
+    def scored(pieces: Column, span: Column) -> Column:
         around = F.lower(F.concat_ws(
             "\n",
-            F.substr(text, first + 1, span["start"] - first),
-            F.substr(text, span["end"] + 1, F.lit(NEAR)),
+            _between(pieces, F.greatest(span["start"] - NEAR, F.lit(0)), span["start"]),
+            _between(pieces, span["end"], span["end"] + NEAR),
         ))
         near = F.when(_mentions(around, _CONTEXT[kind]), F.lit(0.15)).otherwise(F.lit(0.0))
         far = F.when(_mentions(around, _AGAINST.get(kind, ())), F.lit(0.35)).otherwise(F.lit(0.0))
         return span.withField("score", F.lit(_SCORES[kind]) + near - far)
 
+    def judged(found: Column, pieces: Column) -> Column:
+        confirmed = _account_codes(pieces, found) if kind == "iban" else F.filter(found, lambda s: _confirmed(kind, s["value"]))
+        kept = F.transform(confirmed, lambda s: scored(pieces, s))
+        return kept if kind in BASE_KINDS else F.filter(kept, lambda s: s["score"] >= LEAST_SCORE)
+
     both = F.struct(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")
     )
-    found = let(both, lambda parts: F.when(F.size(parts["hits"]) > 0, placed(parts)).otherwise(F.array().cast(SPAN)))
-    confirmed = _account_codes(text, found) if kind == "iban" else F.filter(found, lambda s: _confirmed(kind, s["value"]))
-    kept = F.transform(confirmed, scored)
-    if kind not in BASE_KINDS:
-        kept = F.filter(kept, lambda s: s["score"] >= LEAST_SCORE)
-    return F.when(_HINTS[kind](text), kept).otherwise(F.array().cast(SPAN))
+    none = F.array().cast(SPAN)
+    some = lambda parts: let(placed(parts), lambda found: let(_pieces(text), lambda pieces: judged(found, pieces)))
+    kept = let(both, lambda parts: F.when(F.size(parts["hits"]) > 0, some(parts)).otherwise(none))
+    return F.when(_HINTS[kind](text), kept).otherwise(none)
 
 
 def spans(text: Column) -> Column:
     """All spans of a text by start, then kind: struct of start, rank, end, kind, value, score.
 
     ``start`` and ``end`` (exclusive) count code points. The four plain kinds need pattern and checksum only;
-    account codes also need a score of ``LEAST_SCORE``. A null text has none.
+    account codes also need a score of ``LEAST_SCORE``. A null text has none; a long one full of spans takes time in
+    proportion to its length, as does its masking.
     """
     return F.array_sort(F.concat(*[_spans(kind, F.coalesce(text, F.lit(""))) for kind in KINDS]))
 
@@ -195,17 +221,20 @@ def digest(found: Column) -> Column:
 
 def masked(text: Column, found: Column) -> Column:
     """The text with each span replaced by its kind in angle brackets; overlapping spans become one."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = F.concat(F.substr(text, state["at"] + 1, s["start"] - state["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        parts = F.when(s["start"] >= state["at"], F.concat(state["parts"], F.array(fresh))).otherwise(state["parts"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), parts.alias("parts"))
+    def replaced(pieces: Column) -> Column:
+        # How far the spans before each reach.
+        reach = _scanned(found, "bigint", lambda at, s: (F.greatest(at, s["end"]), at))
+
+        def part(s: Column, at: Column) -> Column:
+            fresh = F.concat(_between(pieces, at, s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+            return F.when(s["start"] >= at, fresh).otherwise(F.lit(""))
 
-    def joined(state: Column) -> Column:
-        return F.concat(F.array_join(state["parts"], ""), F.substr(text, state["at"] + 1))
+        end = F.array_max(F.transform(found, lambda s: s["end"]))
+        rest = _between(pieces, end, end + F.length(text))
+        return F.concat(F.array_join(F.zip_with(found, reach, part), ""), rest)
 
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, joined)).otherwise(text)
+    return F.when(F.size(found) > 0, let(_pieces(text), replaced)).otherwise(text)
 
 
 def found_in(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
