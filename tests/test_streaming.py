@@ -2,11 +2,13 @@
 
 import json
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from skysift.constants import TRIGGER_SECONDS
 from skysift.operators.windows import window_report
 from skysift.plans import enrich, forecast, views
 from skysift.sources import catalog, history
@@ -79,6 +81,33 @@ def test_window_report_update_mode(feed, spark):
     same(jobs.last_emissions(spark, feed.out, ["window_start", "city"]), window_report(feed.table()))
 
 
+def test_batches_start_by_the_clock(feed, spark):
+    """Without ``drain`` a stream goes on and takes what has arrived every ten seconds."""
+    parts = chunks(rows(), 200)
+    feed.add(parts[0])
+    query = jobs.report_windows(feed.stream(), jobs.file_sink(feed.out), feed.work)
+
+    def until(done):
+        end = time.time() + 90
+        while not done() and time.time() < end and query.isActive:
+            time.sleep(0.1)
+        assert done(), query.exception()
+
+    def taken():
+        return [p for p in query.recentProgress if p["numInputRows"] > 0]
+
+    try:
+        until(lambda: len(taken()) == 1 and not query.status["isTriggerActive"])
+        feed.add(parts[1])
+        until(lambda: len(taken()) == 2)
+        assert query.isActive
+    finally:
+        query.stop()
+    started = datetime.fromisoformat(taken()[1]["timestamp"]).timestamp()
+    assert started % TRIGGER_SECONDS < 2
+    same(jobs.last_emissions(spark, feed.out, ["window_start", "city"]), window_report(feed.table()))
+
+
 def test_late_reading_is_dropped(feed, spark):
     data = rows(200)
     feed.add(data)
