@@ -28,9 +28,9 @@ from skysift.llm.tokens import mixed, slices, text_bytes, word_hashes
 from skysift.session import staged
 
 FREQUENT = 500_000
-#: Counts up to this are discounted; pairs seen once are not stored, as in Katz's own model.
+#: Counts up to this are discounted; every pair is stored, those seen once too.
 DISCOUNTED = 5
-LEAST_PAIR = 2
+LEAST_PAIR = 1
 FLUSH_TOKENS = 2_000_000
 BUCKET_TOKENS = 2_000_000
 # The end token: no word has this hash but by a chance of 2 ** -64.
@@ -211,7 +211,7 @@ def fit(texts: DataFrame, kept: int | None = None) -> Model:
     pairs = known.mapInArrow(_pair_counts(model.kept, kept is not None), "a long, b long, n long").withColumn("by", by)
     pairs = pairs.repartition("by").groupBy("by", "a", "b").agg(F.sum("n").alias("n"))
     times = model.words.select(F.col("key").alias("by"), F.col("n").alias("m"))
-    # Counts of counts come along with the write, in the stage that writes; pairs the model does not use are not written.
+    # Counts of counts come along with the write, in the stage that writes.
     seen = Observation("counts of counts")
     classes = [F.count_if(F.col("n") == r).alias(f"n{r}") for r in range(1, DISCOUNTED + 2)]
     kept_pairs = pairs.observe(seen, *classes).filter(F.col("n") >= LEAST_PAIR)

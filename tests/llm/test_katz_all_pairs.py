@@ -35,3 +35,21 @@ def test_no_least_count_that_rises_with_the_input(documents):
     # Sums of 600,000 logarithms round in the fifth place.
     for r in katz.scored(documents(rows), F.col("id") % 5 != 1).collect():
         assert (r.base_score, r.score) == pytest.approx(want[r.doc_id][3:], abs=1e-4)
+
+
+def test_pairs_seen_once_are_of_the_model(documents):
+    """A pair seen once scores by its discounted count, not by backing off."""
+    draw = random.Random(5)
+    rows = [(i, " ".join(f"w{draw.randrange(90)}" for _ in range(draw.randrange(1, 30)))) for i in range(120)]
+    rows += [(500, "only once"), (501, "only once"), (506, "once only")]
+    learn = lambda k: k % 5 != 1
+    want = plain_katz(rows, learn, EVERY)
+    texts = documents(rows)
+    got = {r.doc_id: r for r in katz.scored(texts, F.col("id") % 5 != 1).collect()}
+    assert len(got) == len(rows)
+    for key, r in got.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[key][:3]
+        assert (r.base_score, r.score) == pytest.approx(want[key][3:])
+    assert got[501].score > got[506].score + 1
+    known = texts.selectExpr("doc_id AS id", "text", "doc_id % 5 <> 1 AS learn")
+    assert katz.fit(known).pairs.filter("n = 1").count() > 100
