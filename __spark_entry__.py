@@ -487,7 +487,7 @@ def forecast_expression(spark, sf):
 
 def forecast_error(spark, sf):
     """Split, error on the held-out share worked out in plain columns, and a saved model read again."""
-    rows = features.training_set(tables.readings(spark, sf))
+    rows = staged(features.training_set(tables.readings(spark, sf)), "rows")
     fit_rows, test_rows = forecast.split(rows)
     path = f"{fresh_folder(spark, 'model')}/forecast"
     readings = tables.readings(spark, sf)

@@ -23,13 +23,14 @@ SLOPE_ROWS = 6
 
 def _window_features(frame: DataFrame, window) -> DataFrame:
     recent = window.rowsBetween(1 - FEATURE_ROWS, 0)
-    added = {"seen": F.count(F.lit(1)).over(recent)}
+    # Numbers and look-backs take one step a row; only means and spreads go through the whole frame.
+    added = {"seen": F.least(F.row_number().over(window), F.lit(FEATURE_ROWS))}
     for name in MEASURES:
         value = F.col(name)
         added[f"{name}_mean"] = F.avg(name).over(recent)
         added[f"{name}_std"] = F.stddev_pop(name).over(recent)
         added[f"{name}_last"] = value
-        added[f"{name}_first"] = F.first(name).over(recent)
+        added[f"{name}_first"] = F.coalesce(F.lag(name, FEATURE_ROWS - 1).over(window), F.first(name).over(window))
     for back in (1, 2):
         added[f"pm25_t{back}"] = F.coalesce(F.lag("pm25", back).over(window), F.col("pm25"))
     out = frame.withColumns(added)
@@ -84,7 +85,7 @@ def training_set(readings: DataFrame, label: str = "trend", horizon_steps: int =
 
     def add(frame: DataFrame, window) -> DataFrame:
         out = _window_features(frame, window).withColumn(
-            "_nth", F.count(F.lit(1)).over(window.rowsBetween(1 - ELIGIBLE_ROW, 0))
+            "_nth", F.least(F.row_number().over(window), F.lit(ELIGIBLE_ROW))
         )
         if label == "observed":
             # Seen from the later reading: the row of ``horizon_steps`` ago gets this index.

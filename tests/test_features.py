@@ -171,3 +171,12 @@ def test_default_model_settings():
     boosted = forecast.pipeline().getStages()[-1]
     assert (boosted.getMaxIter(), boosted.getStepSize(), boosted.getMaxDepth(), boosted.getSubsamplingRate(), boosted.getSeed()) == (
         200, 0.05, 4, 0.8, 42)
+
+
+def test_only_means_and_spreads_go_through_the_sliding_frame(data):
+    """Numbers and look-backs take one step a row: no other aggregate starts anew at every row."""
+    _, df = data
+    for rows in (features.window_features(df), features.training_set(df)):
+        plan = rows._jdf.queryExecution().analyzed().toString()
+        assert plan.count("specifiedwindowframe(RowFrame, -11, currentrow$())") == 2 * len(features.MEASURES)
+        assert "specifiedwindowframe(RowFrame, -23, currentrow$())" not in plan
