@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,11 @@ def test_long_runs_are_read_whole(decoder):
         assert "idiot" in decoder.words("s o   " * size + "i d i o t")
         assert "idiot" in decoder.words("so-" * size + "1d1ot")
     assert decoder.words("a" + "*" * 5_000 + "b") is not None
+
+
+def test_tasks_of_a_worker_share_what_was_read():
+    model = np.log(np.full((28, 28, 28), 1 / 28))
+    first = toxicity._decoder(model)
+    assert first.words("moooron") == toxicity.Decoder(model).words("moooron")
+    assert toxicity._decoder(model.copy()) is first and "moooron" in first.known
+    assert toxicity._decoder(model * 2) is not first
