@@ -5,12 +5,16 @@ proportion to their unigram probability, so that each context's probabilities su
 probability backs off the same way: what its discounts leave belongs to one unseen type. Where discounts leave
 nothing, or less than half a count, half a count is set aside.
 
-Words and word pairs are counted over all training texts and kept in tables dealt by key; every word is a context and
-is predicted from one. Words that make up at least one in ``FREQUENT`` of the training tokens are at most ``FREQUENT``, so
-their figures go to every task; this saves look-ups and changes no result. A pair's score is kept as what it adds to
+Words and word pairs are counted over all training texts and dealt by key; every word is a context and
+is predicted from one. The figures of the words counted most often, at most ``FREQUENT``, go to every task; this saves
+look-ups and changes no result. A pair's score is kept as what it adds to
 its context's backoff weight and its word's own probability, so that words, contexts and pairs are
-looked up apart: scoring deals each text's look-ups out by key, answers them beside the tables and adds up what comes
-back per text. A rare context's pairs all lie beside its count, and its backoff weight is worked out there.
+looked up apart, and what comes back is added up per text.
+
+Pairs of two frequent words are numbers, and most of all pairs. Each run of texts deals its pairs out once, sorted and
+packed; they are stored beside all others of their bucket, counted there, and, once every context's figures are known,
+counted again and answered. All other pairs are counted into a table, and each text's look-ups are dealt out by
+key and answered beside it. A rare context's pairs all lie beside its count, and its backoff weight is worked out there.
 """
 
 from __future__ import annotations
@@ -21,18 +25,21 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysift.llm.tokens import mixed, slices, text_bytes, word_hashes
 from skysift.session import staged
 
 FREQUENT = 500_000
+#: Steps of a class of counts, in powers of two, by which the frequent words are told.
+CLASSES = 16
 #: Counts up to this are discounted; every pair is stored, those seen once too.
 DISCOUNTED = 5
 LEAST_PAIR = 1
-FLUSH_TOKENS = 2_000_000
-BUCKET_TOKENS = 2_000_000
+# Of a run of texts and of a bucket of look-ups; a bucket of packed pairs holds twice as many.
+FLUSH_TOKENS = 1_000_000
+BUCKET_TOKENS = 1_000_000
 # The end token: no word has this hash but by a chance of 2 ** -64.
 END = np.uint64(0xE0D)
 # Keys: 0 the start of a text, from 1 frequent words, below 0 the hashes of all others.
@@ -77,6 +84,15 @@ class Kept:
     after: np.ndarray | None = None
     scale: np.ndarray | None = None
 
+    def bare(self) -> Kept:
+        """The words alone, for tasks that only number them."""
+        none = np.zeros(0)
+        return Kept(self.words, none, none, none)
+
+    def times(self, starts: int) -> np.ndarray:
+        """Tokens that follow each context; the first are those after the start of a text."""
+        return np.concatenate([[float(starts)], self.counts])
+
     def keys(self, stream: np.ndarray) -> np.ndarray:
         """From 1 for frequent words, below 0 for others."""
         rare = (stream | _RARE).view(np.int64)
@@ -108,14 +124,15 @@ def _keyed(kept: Kept):
     return key
 
 
-def _pair_counts(kept: Kept, frequent_only: bool):
+def _rare_pair_counts(kept: Kept):
+    """Counts of the pairs that hold a rare word."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, stream, lengths in _groups(batches, []):
             b = kept.keys(stream)
             a = _contexts(b, lengths)
-            if frequent_only:
-                inside = (a >= 0) & (b >= 0)
-                a, b = a[inside], b[inside]
+            outside = (a < 0) | (b < 0)
+            a, b = a[outside], b[outside]
             _, first, counts = np.unique(kept.pair_keys(a, b), return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(counts)], ["a", "b", "n"])
 
@@ -143,6 +160,137 @@ def _shared(seen, times):
     return left, (1 - left) / seen
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of their bytes, compressed."""
+    planes = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
+
+
+def _run(ids: np.ndarray, stream: np.ndarray, lengths: np.ndarray) -> int:
+    """Names a run of texts by its first row and its content: were it cut otherwise when read again, no run would have that name."""
+    figures = np.array([ids[0], len(ids), len(stream)], np.uint64)
+    with np.errstate(over="ignore"):
+        content = (stream.sum(dtype=np.uint64) + (lengths.astype(np.uint64) * mixed(ids.view(np.uint64))).sum(dtype=np.uint64)).reshape(1)
+    return int(mixed(np.bitwise_xor.reduce(mixed(np.concatenate([figures, content]) + np.arange(4, dtype=np.uint64))).reshape(1)).view(np.int64)[0])
+
+
+def _places(learn: np.ndarray) -> np.ndarray:
+    """Numbers of a run's texts, those learned from first."""
+    order = np.argsort(~learn.astype(bool), kind="stable")
+    places = np.empty(len(order), np.int64)
+    places[order] = np.arange(len(order))
+    return places
+
+
+_DEALT = "bucket int, flush long, asks long, learners long, pairs binary, places binary"
+_CLASSES = [f"n{r}" for r in range(1, DISCOUNTED + 2)]
+_BUCKETS = (
+    "bucket int, flush array<long>, asks array<long>, learners array<long>, pairs array<binary>, places array<binary>, a array<long>, "
+    + ", ".join(f"{c} array<long>" for c in _CLASSES)
+    + ", more array<long>, used array<double>"
+)
+
+
+def _frequent_pairs(kept: Kept, spread: np.ndarray, buckets: int):
+    """Each run's pairs of frequent words, by bucket: sorted, with the places of their texts.
+
+    A context's pairs share a bucket, but for contexts too large for that: theirs are spread by the word.
+    """
+    kind = np.min_scalar_type(buckets)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (ids, learn), stream, lengths in _groups(batches, ["row", "learn"]):
+            b = kept.keys(stream)
+            a = _contexts(b, lengths)
+            inside = (a >= 0) & (b >= 0)
+            places = np.repeat(_places(learn), lengths)[inside]
+            a, b = a[inside], b[inside]
+            pairs = kept.pair_keys(a, b)
+            order = np.argsort(pairs)
+            bucket = ((a + b % spread[a]) % buckets).astype(kind)[order]
+            by_bucket = np.argsort(bucket, kind="stable")
+            order, bucket = order[by_bucket], bucket[by_bucket]
+            heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+            flush, learners = _run(ids, stream, lengths), int(learn.astype(bool).sum())
+            for first, last in zip(heads, [*heads[1:], len(bucket)]):
+                cut = order[first:last]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(bucket[first])], pa.int32()), pa.array([flush], pa.int64()), pa.array([len(cut)], pa.int64()),
+                        pa.array([learners], pa.int64()), pa.array([_packed(np.diff(pairs[cut], prepend=0))], pa.binary()),
+                        pa.array([_packed(places[cut])], pa.binary()),
+                    ],
+                    ["bucket", "flush", "asks", "learners", "pairs", "places"],
+                )
+
+    return deal
+
+
+def _opened(row) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Pairs and places of a bucket's runs; its pairs in texts to learn from, and their counts."""
+    pairs = [np.cumsum(_unpacked(p, n)) for p, n in zip(row.pairs, row.asks)]
+    places = [_unpacked(p, n) for p, n in zip(row.places, row.asks)]
+    learned = np.concatenate([p[at < n] for p, at, n in zip(pairs, places, row.learners)])
+    return pairs, places, *np.unique(learned, return_counts=True)
+
+
+def _gathered(kept: Kept):
+    """A bucket as one row, with what each of its contexts has: pairs by their count, tokens of larger counts, own probabilities."""
+
+    def gather(frame: pd.DataFrame) -> pd.DataFrame:
+        names = ["flush", "asks", "learners", "pairs", "places"]
+        row = {"bucket": frame["bucket"].iloc[0], **{c: frame[c].to_numpy() for c in names}}
+        _, _, keys, n = _opened(pd.Series(row))
+        a, b = np.divmod(keys, len(kept.words) + 1)
+        contexts, first = np.unique(a, return_index=True)
+        sums = lambda values: np.add.reduceat(values, first) if len(first) else values
+        row["a"] = contexts
+        row |= {c: sums((n == r).astype(np.int64)) for r, c in enumerate(_CLASSES, 1)}
+        row["more"], row["used"] = sums(np.where(n > len(_CLASSES), n, 0)), sums(10 ** kept.own[b - 1])
+        return pd.DataFrame({c: pd.Series([v], dtype=object) for c, v in row.items()}).astype({"bucket": np.int32})
+
+    return gather
+
+
+def _counted_pairs(kept: Kept):
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                _, _, keys, n = _opened(row)
+                a, b = np.divmod(keys, len(kept.words) + 1)
+                yield pd.DataFrame({"a": a, "b": b, "n": n, "m": np.zeros(len(n), np.int64)})
+
+    return counted
+
+
+def _answered_frequent(model: Model):
+    """What each run's texts get from a bucket's pairs."""
+    kept = model.kept
+    plain = replace(model, rows=None, words=None, rare_pairs=None, buckets=None)
+
+    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                pairs, places, keys, n = _opened(row)
+                a, b = np.divmod(keys, len(kept.words) + 1)
+                held, own = plain.pair_figures(b, n, np.zeros(len(n)))
+                score = np.log10(kept.scale[a] * held / kept.times(plain.starts)[a]) - kept.after[a] - own
+                out = []
+                for flush, asked, at in zip(row.flush, pairs, places):
+                    used, texts = np.unique(at, return_inverse=True)
+                    none = np.zeros(0)
+                    sums = np.bincount(texts, _looked_up(asked, keys, score), len(used))
+                    out.append((flush, used, none, none, none, none, none, none, sums))
+                yield pd.DataFrame(out, columns=_PART_NAMES)
+
+    return answer
+
+
 def _counts_of_counts(table: DataFrame) -> dict[int, int]:
     return {r["n"]: r["types"] for r in table.filter(F.col("n") <= DISCOUNTED + 1).groupBy("n").agg(F.count(F.lit(1)).alias("types")).collect()}
 
@@ -156,8 +304,10 @@ def _discounted(n: Column, factors: dict[int, float]) -> Column:
 
 @dataclass
 class Model:
+    rows: DataFrame
     words: DataFrame
-    pairs: DataFrame
+    rare_pairs: DataFrame
+    buckets: DataFrame
     kept: Kept
     tokens: int
     types: int
@@ -167,6 +317,12 @@ class Model:
     unseen: float = 1.0
     scale: float = 1.0
 
+    @property
+    def pairs(self) -> DataFrame:
+        """All pairs and their counts; ``m`` counts the word where it is rare."""
+        frequent = self.buckets.select("flush", "asks", "learners", "pairs", "places")
+        return self.rare_pairs.unionByName(frequent.mapInPandas(_counted_pairs(self.kept), "a long, b long, n long, m long"))
+
     def base(self, n: np.ndarray | float):
         return np.log10((n + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
@@ -187,59 +343,80 @@ class Model:
         return factor * n, own
 
 
+def _most_counted(words: DataFrame, tokens: int, kept: int | None) -> Column:
+    """Says which words are frequent: at most ``FREQUENT``, those counted most often, or with ``kept`` those that make up one in so many tokens."""
+    if kept is not None:
+        return F.col("n") * kept >= tokens
+    step = F.floor(F.log2(F.col("n")) * CLASSES)
+    found = words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("types"), F.min("n").alias("least")).collect()
+    least, held = None, 0
+    for r in sorted(found, key=lambda r: -r["step"]):
+        held += r["types"]
+        if held > FREQUENT:
+            break
+        least = r["least"]
+    return F.col("n") >= least if least is not None else F.lit(False)
+
+
 def fit(texts: DataFrame, kept: int | None = None) -> Model:
     """Learn from the rows of (id, text, learn) whose ``learn`` is true."""
+    # Rows are told apart by a number of their own: ids may be null or repeat.
+    rows = texts.select(
+        F.monotonically_increasing_id().alias("row"), F.coalesce("id", F.lit(0)).alias("key"), F.col("id").isNotNull().alias("named"),
+        "learn", "text",
+    )
     known = texts.filter("learn").select("text", "learn")
     words = staged(known.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     end = F.col("word") == int(END.astype(np.int64))
     tokens, types, starts = words.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(end, F.col("n")))).first()
     tokens, types, starts = tokens or 0, types or 0, starts or 0
     factors = discounts(_counts_of_counts(words))
-    model = Model(None, None, None, tokens, types, starts, factors, {})
+    model = Model(rows, None, None, None, None, tokens, types, starts, factors, {})
     mass = words.agg(F.sum(_discounted(F.col("n"), factors))).first()[0] or 0.0
     if tokens:
         model.unseen, model.scale = (float(x) for x in _shared(mass / tokens, tokens))
-    # At most ``share`` rows, for each holds one in ``share`` of all tokens.
-    share = FREQUENT if kept is None else kept
-    found = words.filter(F.col("n") * share >= tokens).collect() if tokens else []
-    rows = sorted((np.int64(r["word"]).astype(np.uint64), r["n"]) for r in found)
-    hashes, counts = np.array([w for w, _ in rows], np.uint64), np.array([n for _, n in rows], np.float64)
+    found = words.filter(_most_counted(words, tokens, kept)).toArrow()
+    hashes, counts = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy().astype(np.float64)
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], counts[order]
     model.kept = Kept(hashes, counts, model.base(counts), model.own(counts))
-    model.words = words.mapInArrow(_keyed(model.kept), "key long, n long").filter("key < 0")
+    model.words = words.mapInArrow(_keyed(model.kept.bare()), "key long, n long").filter("key < 0")
     # Dealt once, for the counts and for the join: by the word where it is rare, else by a hash of both.
     by = F.when(F.col("b") < 0, F.col("b")).otherwise(F.xxhash64("a", "b").bitwiseAND(F.lit(0xFFFF)))
-    pairs = known.mapInArrow(_pair_counts(model.kept, kept is not None), "a long, b long, n long").withColumn("by", by)
-    pairs = pairs.repartition("by").groupBy("by", "a", "b").agg(F.sum("n").alias("n"))
-    times = model.words.select(F.col("key").alias("by"), F.col("n").alias("m"))
-    # Counts of counts come along with the write, in the stage that writes.
-    seen = Observation("counts of counts")
-    classes = [F.count_if(F.col("n") == r).alias(f"n{r}") for r in range(1, DISCOUNTED + 2)]
-    kept_pairs = pairs.observe(seen, *classes).filter(F.col("n") >= LEAST_PAIR)
-    model.pairs = staged(kept_pairs.join(times, "by", "left").select("a", "b", "n", F.coalesce("m", F.lit(0)).alias("m")), "pairs")
-    found_classes = seen.get if tokens else {}
-    model.pair_factors = discounts({r: found_classes.get(f"n{r}", 0) for r in range(1, DISCOUNTED + 2)})
-    # What each frequent context leaves: at most as many rows as there are frequent words.
-    parts = model.pairs.filter("a >= 0").mapInPandas(_context_parts(model), "a long, held double, used double")
-    times = np.concatenate([[float(starts)], counts])
+    counted = known if kept is None else known.filter(F.lit(False))
+    pairs = counted.mapInArrow(_rare_pair_counts(model.kept.bare()), "a long, b long, n long").withColumn("by", by)
+    pairs = pairs.repartition("by").groupBy("by", "a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_PAIR)
+    own = model.words.select(F.col("key").alias("by"), F.col("n").alias("m"))
+    model.rare_pairs = staged(pairs.join(own, "by", "left").select("a", "b", "n", F.coalesce("m", F.lit(0)).alias("m")), "pairs")
+    times = model.kept.times(starts)
+    buckets = max(1, -(-tokens // (2 * BUCKET_TOKENS)))
+    spread = np.clip(np.ceil(times * 2 / BUCKET_TOKENS), 1, buckets).astype(np.int32)
+    dealt = rows.select("row", "learn", "text").mapInArrow(_frequent_pairs(model.kept.bare(), spread, buckets), _DEALT)
+    model.buckets = staged(dealt.groupBy("bucket").applyInPandas(_gathered(model.kept), _BUCKETS), "buckets")
+    # What each frequent context has, over all its pairs: at most as many rows as there are frequent words, and one for all others.
+    figures = [*_CLASSES, "more", "used"]
+    inside = model.buckets.select(F.inline(F.arrays_zip("a", *figures)))
+    n, m = F.col("n"), F.col("m")
+    outside = model.rare_pairs.groupBy(F.greatest("a", F.lit(-1)).alias("a")).agg(
+        *[F.count_if(n == r).alias(c) for r, c in enumerate(_CLASSES, 1)],
+        F.sum(F.when(n > len(_CLASSES), n).otherwise(F.lit(0))).alias("more"),
+        F.sum(F.when(m > 0, _discounted(m, factors) * F.lit(model.scale) / F.lit(float(max(tokens, 1)))).otherwise(F.lit(0.0))).alias("used"),
+    )
+    # The pairs of frequent contexts and rare words: the word's own probability is used up too.
+    held = inside.unionByName(outside).groupBy("a").agg(*[F.sum(c).alias(c) for c in figures]).toArrow()
+    a, by_count = held["a"].to_numpy(), [held[c].to_numpy().astype(np.float64) for c in _CLASSES]
+    model.pair_factors = discounts({r: int(found.sum()) for r, found in enumerate(by_count, 1)})
+    mass = sum(r * model.pair_factors.get(r, 1.0) * found for r, found in enumerate(by_count, 1)) + held["more"].to_numpy()
     after, scale = np.zeros(len(times)), np.ones(len(times))
-    for r in parts.groupBy("a").agg(F.sum("held").alias("held"), F.sum("used").alias("used")).collect():
-        left, scale[r["a"]] = _shared(r["held"] / times[r["a"]], times[r["a"]])
-        after[r["a"]] = np.log10(left / (1 - r["used"]))
+    here = a >= 0
+    a, mass, used = a[here], mass[here], held["used"].to_numpy()[here]
+    if len(a):
+        left, scale[a] = _shared(mass / times[a], times[a])
+        after[a] = np.log10(left / (1 - used))
     model.kept.after, model.kept.scale = after, scale
     return model
 
 
-def _context_parts(model: Model):
-    plain = replace(model, words=None, pairs=None)
-
-    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            held, own = plain.pair_figures(*(frame[c].to_numpy() for c in ("b", "n", "m")))
-            yield pd.DataFrame({"a": frame["a"], "held": held, "used": 10**own}).groupby("a", as_index=False).sum()
-
-    return parts
-
-
 _ASKS = pa.schema(
     [("bucket", pa.int32()), ("flush", pa.int64())]
     + [
@@ -260,6 +437,7 @@ _PARTS = (
     "flush long, ids array<bigint>, keys array<bigint>, named array<boolean>, learn array<boolean>, tokens array<bigint>,"
     " known array<bigint>, base array<double>, score array<double>"
 )
+_PART_NAMES = ["flush", "ids", "keys", "named", "learn", "tokens", "known", "base", "score"]
 _OUT = "key long, named boolean, learn boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -277,16 +455,15 @@ def _asked(kept: Kept, buckets: int, frequent_only: bool):
             own = add(inside, kept.own[tokens[inside] - 1]) + add(after, kept.after[before[after]])
             known = np.bincount(rows[inside], minlength=len(ids))
             words, word_rows = tokens[~inside], rows[~inside]
-            both = after & inside if frequent_only else np.ones(len(tokens), bool)
+            both = np.zeros(len(tokens), bool) if frequent_only else ~(after & inside)
             first_keys, second_keys, pair_rows = before[both], tokens[both], rows[both]
             pairs = kept.pair_keys(first_keys, second_keys)
             word_bucket = _word_bucket(words, buckets)
-            pair_bucket = np.where(first_keys < 0, first_keys, second_keys)
-            pair_bucket = np.where(pair_bucket < 0, _word_bucket(pair_bucket, buckets), _pair_bucket(pairs, buckets))
+            pair_bucket = _word_bucket(np.where(first_keys < 0, first_keys, second_keys), buckets)
             word_order, pair_order = np.lexsort((words, word_bucket)), np.lexsort((pairs, pair_bucket))
             word_cuts = np.searchsorted(word_bucket[word_order], np.arange(buckets + 1))
             pair_cuts = np.searchsorted(pair_bucket[pair_order], np.arange(buckets + 1))
-            first = turn % buckets
+            first, flush = turn % buckets, _run(ids, stream, lengths)
             for b in range(buckets):
                 w, p = word_order[word_cuts[b] : word_cuts[b + 1]], pair_order[pair_cuts[b] : pair_cuts[b + 1]]
                 # Only the texts this bucket is asked for.
@@ -300,7 +477,7 @@ def _asked(kept: Kept, buckets: int, frequent_only: bool):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([b], pa.int32()),
-                        pa.array([ids[0]], pa.int64()),
+                        pa.array([flush], pa.int64()),
                         *(
                             pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v.astype(f.type.value_type.to_pandas_dtype())))
                             for v, f in zip(values, list(_ASKS)[2:])
@@ -316,14 +493,9 @@ def _word_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _pair_bucket(pairs, buckets: int):
-    """Works on numpy arrays and columns alike."""
-    return pairs % 1_000_003 % buckets
-
-
 def _answered(model: Model):
     kept = model.kept
-    plain = replace(model, words=None, pairs=None)
+    plain = replace(model, rows=None, words=None, rare_pairs=None, buckets=None)
 
     def answer(asks: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         words = table[table["kind"] == 0].sort_values("a")
@@ -337,7 +509,7 @@ def _answered(model: Model):
         has = seen > 0
         left, word_scale[has] = _shared(seen[has] / word_n[has], word_n[has])
         word_after[has] = np.log10(left / (1 - np.bincount(at, 10 ** own[rare], len(word_keys))[has]))
-        place, times = np.maximum(a, 0), np.concatenate([[float(plain.starts)], kept.counts])
+        place, times = np.maximum(a, 0), kept.times(plain.starts)
         after, scale, times = kept.after[place], kept.scale[place], times[place]
         after[rare], scale[rare], times[rare] = word_after[at], word_scale[at], word_n[at]
         pair_keys, pair_score = kept.pair_keys(a, b), np.log10(scale * held / times) - after - own
@@ -355,16 +527,22 @@ def _answered(model: Model):
             asked, rows = np.asarray(row.pairs, np.int64), np.asarray(row.pair_rows, np.int64)
             score += 1.0 * np.bincount(rows, _looked_up(asked, pair_keys, pair_score), n)
             out.append((row.flush, row.ids, row.keys, row.named, row.learn, row.tokens, known.astype(np.int64), base, score))
-        return pd.DataFrame(out, columns=["flush", "ids", "keys", "named", "learn", "tokens", "known", "base", "score"])
+        return pd.DataFrame(out, columns=_PART_NAMES)
 
     return answer
 
 
 def _summed(parts: pd.DataFrame) -> pd.DataFrame:
     """All texts of one run: the part with its own figures names them, the others add to it."""
-    own = next(row for row in parts.itertuples(index=False) if len(row.tokens))
+    own = next((row for row in parts.itertuples(index=False) if len(row.tokens)), None)
+    if own is None:
+        raise RuntimeError("the texts were dealt otherwise when they were read again")
     known, base, score = (np.zeros(len(own.ids)) for _ in range(3))
+    placed = np.argsort(_places(np.asarray(own.learn, bool)))
     for row in parts.itertuples(index=False):
+        if not len(row.known):  # pairs of frequent words: by the places of their texts
+            score[placed[row.ids]] += row.score
+            continue
         at = np.searchsorted(own.ids, row.ids)
         known[at] += row.known
         base[at] += row.base
@@ -395,22 +573,20 @@ def scored(docs: DataFrame, learnable: Column, key: str = "doc_id", text: str =
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     texts = texts.withColumn("learn", F.coalesce(learnable, F.lit(False)))
     model = fit(texts, kept)
-    buckets = max(1, -(-model.tokens // BUCKET_TOKENS))
-    # Rows are told apart by a number of their own: ids may be null or repeat.
-    rows = texts.select(
-        F.monotonically_increasing_id().alias("row"), F.coalesce("id", F.lit(0)).alias("key"), F.col("id").isNotNull().alias("named"),
-        "learn", "text",
-    )
-    asks = rows.mapInArrow(_asked(model.kept, buckets, kept is not None), _KINDS)
+    # A rare word is looked up itself, and in at most two pairs.
+    rare_tokens = model.tokens - int(model.kept.counts.sum())
+    buckets = max(1, -(-2 * rare_tokens // BUCKET_TOKENS))
+    asks = model.rows.mapInArrow(_asked(model.kept, buckets, kept is not None), _KINDS)
     word_bucket = lambda key: F.shiftrightunsigned(key, 32) % buckets
-    pair_key = F.col("a") * (len(model.kept.words) + 1) + F.col("b")
-    pair_bucket = F.when(F.col("a") < 0, word_bucket("a")).when(F.col("b") < 0, word_bucket("b")).otherwise(_pair_bucket(pair_key, buckets))
     rare = model.words.select(
         word_bucket("key").cast("int").alias("bucket"), F.lit(0).alias("kind"), F.col("key").alias("a"), F.lit(0).cast("long").alias("b"),
         "n", F.lit(0).cast("long").alias("m"),
     )
-    pairs = model.pairs.select(pair_bucket.cast("int").alias("bucket"), F.lit(1).alias("kind"), "a", "b", "n", "m")
+    pair_bucket = F.when(F.col("a") < 0, word_bucket("a")).otherwise(word_bucket("b"))
+    pairs = model.rare_pairs.select(pair_bucket.cast("int").alias("bucket"), F.lit(1).alias("kind"), "a", "b", "n", "m")
     parts = asks.groupBy("bucket").cogroup(rare.unionByName(pairs).groupBy("bucket")).applyInPandas(_answered(model), _PARTS)
+    frequent = model.buckets.select("flush", "asks", "learners", "pairs", "places")
+    parts = parts.unionByName(frequent.mapInPandas(_answered_frequent(model), _PARTS))
     return parts.groupBy("flush").applyInPandas(_summed, _OUT).select(
         F.when(F.col("named"), F.col("key")).alias(key), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",

@@ -53,3 +53,23 @@ def test_pairs_seen_once_are_of_the_model(documents):
     assert got[501].score > got[506].score + 1
     known = texts.selectExpr("doc_id AS id", "text", "doc_id % 5 <> 1 AS learn")
     assert katz.fit(known).pairs.filter("n = 1").count() > 100
+
+
+def test_pairs_of_frequent_words_travel_packed(documents, monkeypatch):
+    """One row for each run and bucket, none for each pair; the words counted most often are frequent, however small their share."""
+    monkeypatch.setattr(katz, "FREQUENT", 50)
+    monkeypatch.setattr(katz, "FLUSH_TOKENS", 400)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 150)
+    draw = random.Random(3)
+    rows = [(i, " ".join(f"w{int(draw.random() ** 3 * 400)}" for _ in range(draw.randrange(0, 40)))) for i in range(300)]
+    texts = documents(rows)
+    known = texts.selectExpr("doc_id AS id", "text", "doc_id % 5 <> 1 AS learn")
+    model = katz.fit(known)
+    assert 30 < len(model.kept.words) <= 50
+    assert model.rare_pairs.filter("a >= 0 AND b >= 0").count() == 0
+    assert 1 < model.buckets.count() < model.buckets.selectExpr("explode(flush)").count()
+    assert model.pairs.filter("a >= 0 AND b >= 0").count() > 500
+    want = plain_katz(rows, lambda k: k % 5 != 1, EVERY)
+    for r in katz.scored(texts, F.col("id") % 5 != 1).collect():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3]
+        assert (r.base_score, r.score) == pytest.approx(want[r.doc_id][3:])
