@@ -464,7 +464,8 @@ def gbt_rmse(spark, sf):
 
 
 def _compiled(spark, sf):
-    readings = tables.readings(spark, sf)
+    """Readings, written once for all that read them, a fitted forecast and its trees."""
+    readings = staged(tables.readings(spark, sf), "readings")
     fitted = forecast.train(readings, trees=COMPILED_TREES)
     return readings, fitted, trees.ensemble(fitted.model)
 
@@ -480,7 +481,8 @@ def _agreement(by_model: DataFrame, by_columns: DataFrame, name: str) -> DataFra
 def forecast_expression(spark, sf):
     """A fitted forecast against its column expressions: after each real reading of a warmed-up city, and from each reading alone."""
     readings, fitted, compiled = _compiled(spark, sf)
-    full = _agreement(forecast.score_history(readings, fitted.model), forecast.score_history(readings, compiled), "history_rows")
+    rows = forecast.history_features(readings)
+    full = _agreement(forecast.score_history(readings, fitted.model, rows), forecast.score_history(readings, compiled, rows), "history_rows")
     alone = _agreement(forecast.score_reading(readings, fitted.model), forecast.score_reading(readings, compiled), "single_rows")
     return alone.join(full, "city", "left").select("city", "single_rows", "single_rows_alike", "history_rows", "history_rows_alike")
 

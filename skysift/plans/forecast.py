@@ -76,9 +76,18 @@ def load_or_train(spark: SparkSession, path: str, readings: DataFrame, **setting
     return PipelineModel.load(path)
 
 
-def score_history(readings: DataFrame, model: PipelineModel | Ensemble) -> DataFrame:
-    """Predict after each real reading of a warmed-up city, from its last twelve real readings."""
-    return _scored(real_features(readings), model).drop(*FEATURES)
+def history_features(readings: DataFrame) -> DataFrame:
+    """What ``score_history`` scores, written once for several models."""
+    shared_folder(readings.sparkSession)
+    return staged(real_features(readings), "history")
+
+
+def score_history(readings: DataFrame, model: PipelineModel | Ensemble, rows: DataFrame | None = None) -> DataFrame:
+    """Predict after each real reading of a warmed-up city, from its last twelve real readings.
+
+    ``rows``: the ``history_features`` of these readings, where they are at hand.
+    """
+    return _scored(real_features(readings) if rows is None else rows, model).drop(*FEATURES)
 
 
 def score_reading(df: DataFrame, model: PipelineModel | Ensemble | None) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skysift.operators import features, gaps
-from skysift.plans import enrich, forecast
+from skysift.plans import enrich, forecast, trees
 from tests import model
 
 START = datetime(2024, 1, 1)
@@ -180,3 +180,24 @@ def test_only_means_and_spreads_go_through_the_sliding_frame(data):
         plan = rows._jdf.queryExecution().analyzed().toString()
         assert plan.count("specifiedwindowframe(RowFrame, -11, currentrow$())") == 2 * len(features.MEASURES)
         assert "specifiedwindowframe(RowFrame, -23, currentrow$())" not in plan
+
+
+def test_several_models_share_the_features_of_a_history(spark, monkeypatch):
+    """The history's features are worked out once, however many models score them."""
+    turns = []
+    whole = forecast.real_features
+    monkeypatch.setattr(forecast, "real_features", lambda rows: turns.append(1) or whole(rows))
+    start = datetime(2024, 1, 1)
+    rows = [(i, "A", start + timedelta(minutes=i), True, *[float(i % 7 + m) for m in range(6)], "Low", "s") for i in range(20)]
+    readings = spark.createDataFrame(
+        rows,
+        "event_id long, city string, event_time timestamp, is_real boolean, pm25 double, pm10 double, no2 double, o3 double,"
+        " co double, so2 double, traffic string, source string",
+    )
+    found = [trees.Ensemble((trees.Split("pm25_last", 3.0, trees.Leaf(10.0), trees.Leaf(20.0)),), (w,)) for w in (1.0, 2.0)]
+    shared = forecast.history_features(readings)
+    for model in found:
+        got = forecast.score_history(readings, model, shared).collect()
+        assert len(turns) == 1
+        assert sorted(got) == sorted(forecast.score_history(readings, model).collect()) and len(got) == 9
+        turns.pop()
