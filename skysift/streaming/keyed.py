@@ -35,7 +35,8 @@ class CityHistory(StatefulProcessor):
     """Gives each row the values of its city's last ``HISTORY_ROWS`` rows, its own last."""
 
     def __init__(self, names: list[str], order: list[str], value: str, idle_seconds: int | None):
-        self.names, self.order, self.value, self.idle_seconds = names, order, value, idle_seconds
+        self.names, self.value, self.idle_seconds = names, value, idle_seconds
+        self.order_places = [names.index(name) for name in order]
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -48,9 +49,10 @@ class CityHistory(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         build = Row(*self.names, "history")
         recent = deque((value for (value,) in self.values.get()), maxlen=HISTORY_ROWS)
-        for row in sorted(rows, key=self._place):
-            recent.append(row[self.value])
-            yield build(*(row[name] for name in self.names), [value for value in recent if value is not None])
+        at = self.names.index(self.value)
+        for row in sorted(self._plain(rows), key=self._place):
+            recent.append(row[at])
+            yield build(*row, [value for value in recent if value is not None])
         self.values.put([(value,) for value in list(recent)[1 - HISTORY_ROWS :]])
         self._seen(timerValues)
 
@@ -58,9 +60,18 @@ class CityHistory(StatefulProcessor):
         self.values.clear()
         return iter(())
 
-    def _place(self, row) -> tuple:
+    def _plain(self, rows: Iterator[Row]) -> Iterator[tuple]:
+        """Values in order of ``names``, looked up by name once for all rows."""
+        places = None
+        for row in rows:
+            if places is None:
+                places = [row.__fields__.index(name) for name in self.names]
+            values = tuple(row)
+            yield tuple([values[place] for place in places])
+
+    def _place(self, row: tuple) -> tuple:
         """Nulls first, as in the windows of a table."""
-        return tuple((row[name] is not None, row[name]) for name in self.order)
+        return tuple([(row[at] is not None, row[at]) for at in self.order_places])
 
     def _seen(self, timerValues) -> None:
         if self.idle_seconds is None:

@@ -140,3 +140,33 @@ def test_batches_appear_once_and_whole(spark, tmp_path):
     sink(spark.range(3), 0)
     sink(spark.range(9), 0)
     assert spark.read.parquet(f"{tmp_path}/o").count() == 3
+
+
+def test_names_are_looked_up_once_for_all_rows():
+    """A row's values are not sought by name row by row."""
+    from pyspark.sql import Row
+
+    sought = []
+
+    class Watched(Row):
+        def __getitem__(self, item):
+            sought.append(item)
+            return super().__getitem__(item)
+
+    class Values:
+        def get(self):
+            return iter([(1.0,)])
+
+        def put(self, values):
+            self.kept = values
+
+    processor = keyed.CityHistory(["city", "event_time", "event_id", "aqi"], ["event_time", "event_id"], "aqi", None)
+    processor.values = Values()
+    named = Row("event_id", "city", "aqi", "event_time")
+    rows = [Watched(*named(2, "A", 3.0, 20)), Watched(*named(1, "A", None, 20)), Watched(*named(3, "A", 2.0, None))]
+    for row in rows:
+        row.__fields__ = named
+    out = list(processor.handleInputRows(("A",), iter(rows), None))
+    assert [r.event_id for r in out] == [3, 1, 2]
+    assert [r.history for r in out] == [[1.0, 2.0], [1.0, 2.0], [1.0, 2.0, 3.0]]
+    assert processor.values.kept == [(1.0,), (2.0,), (None,), (3.0,)] and not sought
