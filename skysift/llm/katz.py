@@ -37,7 +37,8 @@ CLASSES = 16
 #: Counts up to this are discounted; every pair is stored, those seen once too.
 DISCOUNTED = 5
 LEAST_PAIR = 1
-# Of a run of texts and of a bucket of look-ups; a bucket of packed pairs holds twice as many.
+# Of a run of texts and, by twos, of a bucket of packed pairs. A bucket of look-ups comes with the table rows they meet, in
+# a task's memory at once, and holds a quarter as many.
 FLUSH_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000
 # The end token: no word has this hash but by a chance of 2 ** -64.
@@ -57,20 +58,33 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[t
             tokens += len(stream)
             if tokens >= FLUSH_TOKENS:
                 yield _joined(held)
-                held, tokens = [], 0
+                tokens = 0
     if held:
         yield _joined(held)
 
 
 def _joined(held):
+    """One run of what was held, which is let go of."""
     others = [np.concatenate(c) for c in zip(*(h[0] for h in held))]
-    return others, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+    out = others, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+    held.clear()
+    _let_go()
+    return out
+
+
+def _let_go() -> None:
+    """Workers live on from task to task: what Arrow holds in reserve is given back."""
+    pa.default_memory_pool().release_unused()
 
 
+# Each run and bucket is worked on in a function of its own, so that nothing of it is still held while the next one is read.
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, stream, _ in _groups(batches, []):
+    def counted(stream: np.ndarray) -> pa.RecordBatch:
         words, counts = np.unique(stream, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
+
+    for _, stream, _ in _groups(batches, []):
+        yield counted(stream)
 
 
 @dataclass
@@ -89,6 +103,18 @@ class Kept:
         none = np.zeros(0)
         return Kept(self.words, none, none, none)
 
+    def figures(self) -> Kept:
+        """All but what only those need that number the words or ask."""
+        return replace(self, words=np.zeros(0), base=np.zeros(0))
+
+    def asking(self) -> Kept:
+        """All but what only those need that answer."""
+        return replace(self, counts=np.zeros(0), scale=None)
+
+    @property
+    def size(self) -> int:
+        return max(len(self.words), len(self.own))
+
     def times(self, starts: int) -> np.ndarray:
         """Tokens that follow each context; the first are those after the start of a text."""
         return np.concatenate([[float(starts)], self.counts])
@@ -104,7 +130,7 @@ class Kept:
     def pair_keys(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """One number for a context's and a word's key: from 0 if both are frequent, else a hash below 0."""
         odd = (mixed(mixed(a.view(np.uint64)) + b.view(np.uint64)) | _RARE).view(np.int64)
-        return np.where((a >= 0) & (b >= 0), a * (len(self.words) + 1) + b, odd)
+        return np.where((a >= 0) & (b >= 0), a * (self.size + 1) + b, odd)
 
 
 def _contexts(keys: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -127,14 +153,17 @@ def _keyed(kept: Kept):
 def _rare_pair_counts(kept: Kept):
     """Counts of the pairs that hold a rare word."""
 
+    def counted(stream: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+        b = kept.keys(stream)
+        a = _contexts(b, lengths)
+        outside = (a < 0) | (b < 0)
+        a, b = a[outside], b[outside]
+        _, first, counts = np.unique(kept.pair_keys(a, b), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(counts)], ["a", "b", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, stream, lengths in _groups(batches, []):
-            b = kept.keys(stream)
-            a = _contexts(b, lengths)
-            outside = (a < 0) | (b < 0)
-            a, b = a[outside], b[outside]
-            _, first, counts = np.unique(kept.pair_keys(a, b), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(counts)], ["a", "b", "n"])
+            yield counted(stream, lengths)
 
     return count
 
@@ -203,50 +232,64 @@ def _frequent_pairs(kept: Kept, spread: np.ndarray, buckets: int):
     """
     kind = np.min_scalar_type(buckets)
 
+    def cut(ids: np.ndarray, learn: np.ndarray, stream: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+        b = kept.keys(stream)
+        a = _contexts(b, lengths)
+        inside = (a >= 0) & (b >= 0)
+        places = np.repeat(_places(learn).astype(np.int32), lengths)[inside]
+        a, b = a[inside], b[inside]
+        pairs = kept.pair_keys(a, b)
+        bucket = ((a + b % spread[a]) % buckets).astype(kind)
+        del a, b, inside
+        order = np.argsort(pairs)
+        bucket = bucket[order]
+        by_bucket = np.argsort(bucket, kind="stable")
+        order, bucket = order[by_bucket], bucket[by_bucket]
+        del by_bucket
+        heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+        flush, learners = _run(ids, stream, lengths), int(learn.astype(bool).sum())
+        for first, last in zip(heads, [*heads[1:], len(bucket)]):
+            mine = order[first:last]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(bucket[first])], pa.int32()), pa.array([flush], pa.int64()), pa.array([len(mine)], pa.int64()),
+                    pa.array([learners], pa.int64()), pa.array([_packed(np.diff(pairs[mine], prepend=0))], pa.binary()),
+                    pa.array([_packed(places[mine])], pa.binary()),
+                ],
+                ["bucket", "flush", "asks", "learners", "pairs", "places"],
+            )
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (ids, learn), stream, lengths in _groups(batches, ["row", "learn"]):
-            b = kept.keys(stream)
-            a = _contexts(b, lengths)
-            inside = (a >= 0) & (b >= 0)
-            places = np.repeat(_places(learn), lengths)[inside]
-            a, b = a[inside], b[inside]
-            pairs = kept.pair_keys(a, b)
-            order = np.argsort(pairs)
-            bucket = ((a + b % spread[a]) % buckets).astype(kind)[order]
-            by_bucket = np.argsort(bucket, kind="stable")
-            order, bucket = order[by_bucket], bucket[by_bucket]
-            heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
-            flush, learners = _run(ids, stream, lengths), int(learn.astype(bool).sum())
-            for first, last in zip(heads, [*heads[1:], len(bucket)]):
-                cut = order[first:last]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int(bucket[first])], pa.int32()), pa.array([flush], pa.int64()), pa.array([len(cut)], pa.int64()),
-                        pa.array([learners], pa.int64()), pa.array([_packed(np.diff(pairs[cut], prepend=0))], pa.binary()),
-                        pa.array([_packed(places[cut])], pa.binary()),
-                    ],
-                    ["bucket", "flush", "asks", "learners", "pairs", "places"],
-                )
+            yield from cut(ids, learn, stream, lengths)
 
     return deal
 
 
 def _opened(row) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """Pairs and places of a bucket's runs; its pairs in texts to learn from, and their counts."""
-    pairs = [np.cumsum(_unpacked(p, n)) for p, n in zip(row.pairs, row.asks)]
-    places = [_unpacked(p, n) for p, n in zip(row.places, row.asks)]
+    """Pairs and places of a bucket's runs; its pairs in texts to learn from, and their counts.
+
+    A bucket is the most that a task holds at once: nothing here is copied that can be made in place.
+    """
+    pairs = [_unpacked(p, n) for p, n in zip(row.pairs, row.asks)]
+    for p in pairs:
+        np.cumsum(p, out=p)
+    places = [_unpacked(p, n).astype(np.int32) for p, n in zip(row.places, row.asks)]  # of one run's texts
     learned = np.concatenate([p[at < n] for p, at, n in zip(pairs, places, row.learners)])
-    return pairs, places, *np.unique(learned, return_counts=True)
+    learned.sort()
+    heads = np.flatnonzero(np.append(True, learned[1:] != learned[:-1])[: len(learned)])
+    return pairs, places, learned[heads], np.diff(heads, append=len(learned))
 
 
 def _gathered(kept: Kept):
     """A bucket as one row, with what each of its contexts has: pairs by their count, tokens of larger counts, own probabilities."""
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
+        _let_go()
         names = ["flush", "asks", "learners", "pairs", "places"]
         row = {"bucket": frame["bucket"].iloc[0], **{c: frame[c].to_numpy() for c in names}}
         _, _, keys, n = _opened(pd.Series(row))
-        a, b = np.divmod(keys, len(kept.words) + 1)
+        a, b = np.divmod(keys, kept.size + 1)
         contexts, first = np.unique(a, return_index=True)
         sums = lambda values: np.add.reduceat(values, first) if len(first) else values
         row["a"] = contexts
@@ -270,23 +313,28 @@ def _counted_pairs(kept: Kept):
 
 def _answered_frequent(model: Model):
     """What each run's texts get from a bucket's pairs."""
-    kept = model.kept
-    plain = replace(model, rows=None, words=None, rare_pairs=None, buckets=None)
+    kept = model.kept.figures()
+    plain = replace(model, rows=None, words=None, rare_pairs=None, buckets=None, kept=kept)
+
+    def answered(row) -> pd.DataFrame:
+        pairs, places, keys, n = _opened(row)
+        a, b = np.divmod(keys, kept.size + 1)
+        held, own = plain.pair_figures(b, n, np.zeros(len(n)))
+        score = np.log10(kept.scale[a] * held / kept.times(plain.starts)[a]) - kept.after[a] - own
+        del a, b, n, held, own
+        out = []
+        for flush, asked, at in zip(row.flush, pairs, places):
+            used, texts = np.unique(at, return_inverse=True)
+            none = np.zeros(0)
+            sums = np.bincount(texts, _looked_up(asked, keys, score), len(used))
+            out.append((flush, used, none, none, none, none, none, none, sums))
+        return pd.DataFrame(out, columns=_PART_NAMES)
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                pairs, places, keys, n = _opened(row)
-                a, b = np.divmod(keys, len(kept.words) + 1)
-                held, own = plain.pair_figures(b, n, np.zeros(len(n)))
-                score = np.log10(kept.scale[a] * held / kept.times(plain.starts)[a]) - kept.after[a] - own
-                out = []
-                for flush, asked, at in zip(row.flush, pairs, places):
-                    used, texts = np.unique(at, return_inverse=True)
-                    none = np.zeros(0)
-                    sums = np.bincount(texts, _looked_up(asked, keys, score), len(used))
-                    out.append((flush, used, none, none, none, none, none, none, sums))
-                yield pd.DataFrame(out, columns=_PART_NAMES)
+                _let_go()
+                yield answered(row)
 
     return answer
 
@@ -392,7 +440,7 @@ def fit(texts: DataFrame, kept: int | None = None) -> Model:
     buckets = max(1, -(-tokens // (2 * BUCKET_TOKENS)))
     spread = np.clip(np.ceil(times * 2 / BUCKET_TOKENS), 1, buckets).astype(np.int32)
     dealt = rows.select("row", "learn", "text").mapInArrow(_frequent_pairs(model.kept.bare(), spread, buckets), _DEALT)
-    model.buckets = staged(dealt.groupBy("bucket").applyInPandas(_gathered(model.kept), _BUCKETS), "buckets")
+    model.buckets = staged(dealt.groupBy("bucket").applyInPandas(_gathered(model.kept.figures()), _BUCKETS), "buckets")
     # What each frequent context has, over all its pairs: at most as many rows as there are frequent words, and one for all others.
     figures = [*_CLASSES, "more", "used"]
     inside = model.buckets.select(F.inline(F.arrays_zip("a", *figures)))
@@ -442,49 +490,50 @@ _OUT = "key long, named boolean, learn boolean, n_tokens long, n_known long, bas
 
 
 def _asked(kept: Kept, buckets: int, frequent_only: bool):
+    def asked(turn: int, ids, keys, named, learn, stream: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+        tokens = kept.keys(stream)
+        before = _contexts(tokens, lengths)
+        inside, after = tokens >= 0, before >= 0
+        add = lambda mask, values: np.bincount(rows[mask], values, len(ids)).astype(np.float64)
+        base = add(inside, kept.base[tokens[inside] - 1])
+        own = add(inside, kept.own[tokens[inside] - 1]) + add(after, kept.after[before[after]])
+        known = np.bincount(rows[inside], minlength=len(ids))
+        words, word_rows = tokens[~inside], rows[~inside]
+        both = np.zeros(len(tokens), bool) if frequent_only else ~(after & inside)
+        first_keys, second_keys, pair_rows = before[both], tokens[both], rows[both]
+        pairs = kept.pair_keys(first_keys, second_keys)
+        word_bucket = _word_bucket(words, buckets)
+        pair_bucket = _word_bucket(np.where(first_keys < 0, first_keys, second_keys), buckets)
+        word_order, pair_order = np.lexsort((words, word_bucket)), np.lexsort((pairs, pair_bucket))
+        word_cuts = np.searchsorted(word_bucket[word_order], np.arange(buckets + 1))
+        pair_cuts = np.searchsorted(pair_bucket[pair_order], np.arange(buckets + 1))
+        first, flush = turn % buckets, _run(ids, stream, lengths)
+        for b in range(buckets):
+            w, p = word_order[word_cuts[b] : word_cuts[b + 1]], pair_order[pair_cuts[b] : pair_cuts[b + 1]]
+            # Only the texts this bucket is asked for.
+            used = np.arange(len(ids)) if b == first else np.unique(np.concatenate([word_rows[w], pair_rows[p]]))
+            if not len(used):
+                continue
+            sums = [keys, named, learn, lengths, known, base, own] if b == first else [np.zeros(0)] * 7
+            place = np.zeros(len(ids), np.int32)
+            place[used] = np.arange(len(used), dtype=np.int32)
+            values = [ids[used], *sums, words[w], place[word_rows[w]], pairs[p], place[pair_rows[p]]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([b], pa.int32()),
+                    pa.array([flush], pa.int64()),
+                    *(
+                        pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v.astype(f.type.value_type.to_pandas_dtype())))
+                        for v, f in zip(values, list(_ASKS)[2:])
+                    ),
+                ],
+                schema=_ASKS,
+            )
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, ((ids, keys, named, learn), stream, lengths) in enumerate(
-            _groups(batches, ["row", "key", "named", "learn"])
-        ):
-            rows = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
-            tokens = kept.keys(stream)
-            before = _contexts(tokens, lengths)
-            inside, after = tokens >= 0, before >= 0
-            add = lambda mask, values: np.bincount(rows[mask], values, len(ids)).astype(np.float64)
-            base = add(inside, kept.base[tokens[inside] - 1])
-            own = add(inside, kept.own[tokens[inside] - 1]) + add(after, kept.after[before[after]])
-            known = np.bincount(rows[inside], minlength=len(ids))
-            words, word_rows = tokens[~inside], rows[~inside]
-            both = np.zeros(len(tokens), bool) if frequent_only else ~(after & inside)
-            first_keys, second_keys, pair_rows = before[both], tokens[both], rows[both]
-            pairs = kept.pair_keys(first_keys, second_keys)
-            word_bucket = _word_bucket(words, buckets)
-            pair_bucket = _word_bucket(np.where(first_keys < 0, first_keys, second_keys), buckets)
-            word_order, pair_order = np.lexsort((words, word_bucket)), np.lexsort((pairs, pair_bucket))
-            word_cuts = np.searchsorted(word_bucket[word_order], np.arange(buckets + 1))
-            pair_cuts = np.searchsorted(pair_bucket[pair_order], np.arange(buckets + 1))
-            first, flush = turn % buckets, _run(ids, stream, lengths)
-            for b in range(buckets):
-                w, p = word_order[word_cuts[b] : word_cuts[b + 1]], pair_order[pair_cuts[b] : pair_cuts[b + 1]]
-                # Only the texts this bucket is asked for.
-                used = np.arange(len(ids)) if b == first else np.unique(np.concatenate([word_rows[w], pair_rows[p]]))
-                if not len(used):
-                    continue
-                sums = [keys, named, learn, lengths, known, base, own] if b == first else [np.zeros(0)] * 7
-                place = np.zeros(len(ids), np.int32)
-                place[used] = np.arange(len(used), dtype=np.int32)
-                values = [ids[used], *sums, words[w], place[word_rows[w]], pairs[p], place[pair_rows[p]]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([b], pa.int32()),
-                        pa.array([flush], pa.int64()),
-                        *(
-                            pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v.astype(f.type.value_type.to_pandas_dtype())))
-                            for v, f in zip(values, list(_ASKS)[2:])
-                        ),
-                    ],
-                    schema=_ASKS,
-                )
+        for turn, (columns, stream, lengths) in enumerate(_groups(batches, ["row", "key", "named", "learn"])):
+            yield from asked(turn, *columns, stream, lengths)
 
     return ask
 
@@ -493,11 +542,17 @@ def _word_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _look_up_buckets(rare_tokens: int) -> int:
+    """A rare word is looked up itself, and in at most two pairs; a table has as many rows at most."""
+    return max(1, -(-8 * rare_tokens // BUCKET_TOKENS))
+
+
 def _answered(model: Model):
-    kept = model.kept
-    plain = replace(model, rows=None, words=None, rare_pairs=None, buckets=None)
+    kept = model.kept.figures()
+    plain = replace(model, rows=None, words=None, rare_pairs=None, buckets=None, kept=kept)
 
     def answer(asks: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        _let_go()
         words = table[table["kind"] == 0].sort_values("a")
         word_keys, word_n = words["a"].to_numpy(np.int64), words["n"].to_numpy(np.float64)
         a, b, n, m = (table.loc[table["kind"] == 1, c].to_numpy(np.int64) for c in ("a", "b", "n", "m"))
@@ -534,6 +589,7 @@ def _answered(model: Model):
 
 def _summed(parts: pd.DataFrame) -> pd.DataFrame:
     """All texts of one run: the part with its own figures names them, the others add to it."""
+    _let_go()
     own = next((row for row in parts.itertuples(index=False) if len(row.tokens)), None)
     if own is None:
         raise RuntimeError("the texts were dealt otherwise when they were read again")
@@ -573,10 +629,8 @@ def scored(docs: DataFrame, learnable: Column, key: str = "doc_id", text: str =
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     texts = texts.withColumn("learn", F.coalesce(learnable, F.lit(False)))
     model = fit(texts, kept)
-    # A rare word is looked up itself, and in at most two pairs.
-    rare_tokens = model.tokens - int(model.kept.counts.sum())
-    buckets = max(1, -(-2 * rare_tokens // BUCKET_TOKENS))
-    asks = model.rows.mapInArrow(_asked(model.kept, buckets, kept is not None), _KINDS)
+    buckets = _look_up_buckets(model.tokens - int(model.kept.counts.sum()))
+    asks = model.rows.mapInArrow(_asked(model.kept.asking(), buckets, kept is not None), _KINDS)
     word_bucket = lambda key: F.shiftrightunsigned(key, 32) % buckets
     rare = model.words.select(
         word_bucket("key").cast("int").alias("bucket"), F.lit(0).alias("kind"), F.col("key").alias("a"), F.lit(0).cast("long").alias("b"),
