@@ -37,9 +37,9 @@ CLASSES = 16
 #: Counts up to this are discounted; every pair is stored, those seen once too.
 DISCOUNTED = 5
 LEAST_PAIR = 1
-# Of a run of texts and, by twos, of a bucket of packed pairs. A bucket of look-ups comes with the table rows they meet, in
+# Of a run of texts; and, by twos, of a bucket of packed pairs. A bucket of look-ups comes with the table rows they meet, in
 # a task's memory at once, and holds a quarter as many.
-FLUSH_TOKENS = 1_000_000
+FLUSH_TOKENS = 500_000
 BUCKET_TOKENS = 1_000_000
 # The end token: no word has this hash but by a chance of 2 ** -64.
 END = np.uint64(0xE0D)
